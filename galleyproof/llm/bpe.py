@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REMEMBERED = 1 << 18
-EMIT_BYTES = 1 << 22
+REMEMBERED = 1 << 19
+EMIT_BYTES = 1 << 20
 
 
 def characters() -> list[str]:
@@ -82,33 +82,51 @@ class Encoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.find = regex.compile(white_space(pattern)).findall
         self.table = {b: c for b, c in enumerate(characters())}
-        self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, list[int]] = {}
-
-    def piece(self, match: str) -> list[int]:
-        raw = match.encode()
-        rank = self.ranks.get(raw)
-        return [rank] if rank is not None else self.model.encode(raw.decode("latin-1").translate(self.table))
-
-    def pieces(self, text: str) -> list[list[int]]:
-        """The ids of each match of the pattern; a memory of bounded size keeps what common matches give."""
-        known, out = self.known, []
-        for match in self.find(text):
-            ids = known.get(match)
-            if ids is None:
-                ids = self.piece(match)
-                if len(match) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[match] = ids
-            out.append(ids)
+        self.bytes: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.bytes[rank] = token
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, matches: set[str]) -> None:
+        """Put the ids of matches that aren't known into the memory; sentencepiece gets them in one call."""
+        rest, names = [], []
+        for match in matches:
+            raw = match.encode()
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                self.known[match] = (rank,)
+            else:
+                rest.append(match)
+                names.append(raw.decode("latin-1").translate(self.table))
+        if names:
+            self.known.update(zip(rest, map(tuple, self.model.encode(names, num_threads=1))))
+
+    def pieces(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
+        """For each text the ids of each match of the pattern. A memory of bounded size keeps what short matches give."""
+        found = [self.find(text) for text in texts]
+        out = [list(map(self.known.get, matches)) for matches in found]
+        open_ = [i for i, ids in enumerate(out) if None in ids]
+        missing = {match for i in open_ for match, ids in zip(found[i], out[i]) if ids is None}
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.known.clear()
+                missing = {match for i in open_ for match in found[i]}
+            self.learn(missing)
+            for i in open_:
+                out[i] = list(map(self.known.__getitem__, found[i]))
+            for match in missing:
+                if len(match) > 64:
+                    del self.known[match]
         return out
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [list(chain.from_iterable(ids)) for ids in self.pieces(texts)]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces(text)))
+        return self.encode_all([text])[0]
 
-    def count(self, text: str) -> int:
-        return sum(map(len, self.pieces(text)))
+    def count(self, texts: list[str]) -> list[int]:
+        return [sum(map(len, ids)) for ids in self.pieces(texts)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -151,13 +169,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
         for b in batches:
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in b.column(at)]
             for lo, hi in _cuts(sizes, EMIT_BYTES):
-                ids, ends = [], [0]
-                for text in b.column(at).slice(lo, hi - lo).to_pylist():
-                    if text:
-                        ids.append(np.array(encoder.encode(text), np.int32))
-                    ends.append(ends[-1] + (len(ids[-1]) if text else 0))
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield _with(b, lo, hi, out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                ids = encoder.encode_all([text or "" for text in b.column(at).slice(lo, hi - lo).to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                yield _with(b, lo, hi, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
     return docs.mapInArrow(run, _schema(docs, out, T.ArrayType(T.IntegerType())))
 
@@ -185,7 +200,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for b in batches:
-            counts = [encoder.count(x.as_py()) if x.is_valid else 0 for x in b.column(at)]
+            sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in b.column(at)]
+            counts = [n for lo, hi in _cuts(sizes, EMIT_BYTES) for n in encoder.count([x or "" for x in b.column(at).slice(lo, hi - lo).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), pa.array(counts, pa.int64())], [*(f.name for f in rest), out])
 
     return docs.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.LongType())]))
