@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns that decide what counts as a claim, a marker or a heading.
@@ -84,7 +84,7 @@ def collapse(c: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Array of sentences: breaks after . ! ? before a capital or a command."""
     parts = F.split(collapse(text), r"(?<=[.!?])\s+(?=[A-Z\\])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -134,7 +134,7 @@ def surnames(authors: Column) -> Column:
 
 
 def split_authors(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+and\s+"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def numbers_in(c: Column) -> Column:
@@ -183,9 +183,15 @@ def ngrams(c: Column, n: int = 4) -> Column:
     return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.length(c) < n, whole).otherwise(F.array_distinct(grams))
 
 
-def ngram_jaccard(a: Column, b: Column, n: int = 4) -> Column:
-    x, y = ngrams(a, n), ngrams(b, n)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+def with_overlap(df: DataFrame, a: Column, b: Column, n: int = 4) -> DataFrame:
+    """df with the Jaccard similarity of two texts' n-grams, rounded to three places; 0 where a side is empty.
+
+    Texts and n-grams are columns of their own on the way, or each n-gram would work them out again.
+    """
+    df = df.withColumns({"__a": a, "__b": b}).withColumns({"__x": ngrams(F.col("__a"), n), "__y": ngrams(F.col("__b"), n)})
+    df = df.withColumn("__common", F.size(F.array_intersect("__x", "__y")))
+    total = F.size("__x") + F.size("__y") - F.col("__common")
+    return df.withColumn("overlap", F.when(total > 0, F.round(F.col("__common") / total, 3)).otherwise(F.lit(0.0))).drop("__a", "__b", "__x", "__y", "__common")
 
 
 def unparseable_hits(body: Column) -> Column:

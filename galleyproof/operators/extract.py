@@ -30,8 +30,7 @@ def sentences(manuscript: DataFrame) -> DataFrame:
 
 def citation_claims(manuscript: DataFrame, bib: DataFrame) -> DataFrame:
     """One row for each cited key, with its bibliography entry where there is one; occurrence numbers equal locators."""
-    keys = F.split(F.explode(t.found(F.col("sentence"), t.CITE, 1)), ",")
-    rows = sentences(manuscript).select("*", keys.alias("keys")).select("*", F.posexplode("keys").alias("pos", "raw")).withColumn("cite_key", F.trim("raw")).where("cite_key <> ''")
+    rows = sentences(manuscript).select("*", F.explode(t.found(F.col("sentence"), t.CITE, 1)).alias("keys")).select("*", F.posexplode(F.split("keys", ",")).alias("pos", "raw")).withColumn("cite_key", F.trim("raw")).where("cite_key <> ''")
     order = Window.partitionBy(*KEY, "cite_key").orderBy("seq", "n", "pos", "sentence")
     return rows.withColumn("occurrence", F.row_number().over(order)).join(bib, "cite_key", "left").select(
         *KEY, F.concat(F.lit("cite:"), "cite_key").alias("locator"), "occurrence", "hint", "cite_key", t.truncate(F.col("sentence"), 400).alias("claim_quote"), "doi", "title", "year")
@@ -93,7 +92,7 @@ def equations(manuscript: DataFrame) -> DataFrame:
 
 def equality_pairs(eqs: DataFrame) -> DataFrame:
     """(.., pair, lhs, rhs): neighbours in chains of equalities; definitions make none."""
-    parts = F.transform(F.split(F.regexp_replace("body", r"\\(?:label|tag)\{[^{}]*\}|&", ""), r"(?<![:=])=(?!=)"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace("body", r"\\(?:label|tag)\{[^{}]*\}|&", ""), r"(?<![:=])=(?!=)"), lambda s: F.trim(s))
     pairs = F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("lhs"), b.alias("rhs")))
     return eqs.where(~t.is_definition(F.col("body"))).select(*KEY, "eq", F.posexplode(pairs).alias("pair", "p")).select(*KEY, "eq", "pair", "p.lhs", "p.rhs")
 
