@@ -37,8 +37,10 @@ def citation_claims(manuscript: DataFrame, bib: DataFrame) -> DataFrame:
 
 
 def _kinds() -> Column:
-    found = [F.transform(t.found(F.col("sentence"), p), lambda v, k=k, i=i: F.struct(F.lit(i).alias("kind_no"), F.lit(k).alias("kind"), v.alias("value"))) for i, (k, p) in enumerate(t.NUMERIC.items())]
-    return F.concat(*found)
+    def of(i: int, kind: str, pattern: str) -> Column:
+        return F.transform(t.found(F.col("sentence"), pattern), lambda v: F.struct(F.lit(i).alias("kind_no"), F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.concat(*(of(i, k, p) for i, (k, p) in enumerate(t.NUMERIC.items())))
 
 
 def numerical_claims(manuscript: DataFrame) -> DataFrame:
