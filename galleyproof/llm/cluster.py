@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,9 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished steps refer to; Spark deletes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .cluster import cut
+from .cluster import cut_to_table, release
 
 LENGTH = 400
 TOKEN = 100
@@ -148,10 +148,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield out()
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = cut(named.mapInArrow(scan, f"id {kind}, text_key binary, first long, last long, token long, stretch binary"))
+    found = cut_to_table(named.mapInArrow(scan, f"id {kind}, text_key binary, first long, last long, token long, stretch binary"))
 
     shared = found.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
-    kinds = found.join(shared, "token", "left_semi").groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "id", "first", "last")).alias("at"))
+    found = cut_to_table(found.join(shared, "token", "left_semi").drop("token"))
+    release(docs.sparkSession)
+    kinds = found.groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "id", "first", "last")).alias("at"))
 
     # One copy of each stretch is fetched, from the text that its smallest place names.
     wanted = kinds.select(F.col("at.text_key").alias("at_key"), F.col("at.id").alias("at_id"), F.struct("at.first", "at.last", "stretch", "n").alias("cut"))
@@ -163,7 +165,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["ahead", "bytes", "stretch", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["place", "bytes", "stretch", "n"])
 
         seen: set[bytes] = set()
         for b in batches:
@@ -176,7 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for c in cuts:
                     piece = raw[c["first"] : c["last"] + length]
                     place = int(families(np.frombuffer(piece, np.uint8), length, token)[2][0])
-                    out.append((piece[place:], piece, c["stretch"], c["n"]))
+                    out.append((place, piece, c["stretch"], c["n"]))
                 if len(out) > 5_000:
                     yield send(out)
                     out = []
@@ -185,7 +187,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = named.where(F.octet_length("text") >= length).mapInArrow(keyed, f"id {kind}, text string, text_key binary")
     sources = texts.join(wanted, (texts.text_key == wanted.at_key) & texts.id.eqNullSafe(wanted.at_id)).select("text", "cuts")
-    pieces = cut(sources.mapInArrow(cut_out, "ahead binary, bytes binary, stretch binary, n long"))
+    pieces = cut_to_table(sources.mapInArrow(cut_out, "place long, bytes binary, stretch binary, n long"))
+    release(docs.sparkSession)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge: set[bytes] = set()  # tokens that may go on in another bucket, or were cut here for their size
@@ -196,15 +199,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner, start, stop = _bucket(held, length)
             out = [(held[o][2], a, z, None) for o, a, z in zip(owner.tolist(), start.tolist(), stop.tolist())]
             for r in held:
-                if r[0][:token] in edge:
+                if r[0] in edge:
                     out += [(r[2], a, a + 1, _digest(r[1][a : a + length])) for a in range(len(r[1]) - length + 1)]
             for lo in range(0, len(out), 50_000):
                 c = list(zip(*out[lo : lo + 50_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["stretch", "start", "stop", "digest"])
 
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(4))):
-                now, before = r[0][:token], held[-1][0][:token] if held else None
+            for place, *rest in zip(*(b.column(k).to_pylist() for k in range(4))):
+                r = (rest[0][place : place + token], *rest)
+                now, before = r[0], held[-1][0] if held else None
                 if not edge:
                     edge.add(now)
                 if size > BUCKET and now != before or size > 2 * BUCKET:
@@ -215,12 +219,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 held.append(r)
                 size += len(r[1])
         if held:
-            edge.add(held[-1][0][:token])
+            edge.add(held[-1][0])
             yield from judge()
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = pieces.repartitionByRange(parts, "ahead").sortWithinPartitions("ahead")
-    judged = cut(ordered.mapInArrow(sort, "stretch binary, start long, stop long, digest binary"))
+    ahead = F.substring("bytes", F.col("place").cast("int") + 1, F.lit(length + token))
+    ordered = pieces.repartitionByRange(parts, ahead).sortWithinPartitions(ahead)
+    judged = cut_to_table(ordered.mapInArrow(sort, "stretch binary, start long, stop long, digest binary"))
+    release(docs.sparkSession)
     across = judged.where("digest is not null")
     common = across.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     decided = judged.where("digest is null").select("stretch", "start", "stop").union(across.join(common, "digest").select("stretch", "start", "stop"))
