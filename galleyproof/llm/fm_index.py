@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from . import arrays
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 SAMPLE = 16
 PHRASE_BYTES = 32 << 20
 
@@ -219,7 +219,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """The columns of docs and: n_words, n_hit, spans (UTF-8 byte ranges of hit words, merged), items (as strings, ordered).
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of a benchmark item, or of a shorter
-    item as a whole. Runs of texts of about 6 MB are the shards; a longer text is a shard alone. The documents
+    item as a whole. Runs of texts of about 3 MB are the shards; a longer text is a shard alone. The documents
     never move. The benchmark's texts go to all tasks where they have ``phrase_bytes`` bytes at most;
     a larger benchmark is dealt into parts of that size, and the documents are searched once for each.
     Null and empty texts have no words. Null item texts, and items without words, hit nothing; a null item_id is not

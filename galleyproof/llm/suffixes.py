@@ -32,7 +32,7 @@ from .cluster import cut_to_table, release
 
 LENGTH = 400
 TOKEN = 100
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BUCKET = 1 << 21
 
 
