@@ -104,14 +104,15 @@ class FMIndex:
     def __init__(self, hashes: np.ndarray, rows: np.ndarray, n_rows: int):
         self.alphabet, symbols = np.unique(hashes, return_inverse=True)
         counts = np.bincount(rows, minlength=n_rows)
-        # Each text is followed by symbol 0.
+        # Each text is followed by symbol 1; symbol 0 ends the whole, so that suffixes and rotations have one order.
         self.first = np.cumsum(counts + 1) - (counts + 1)
         self.counts = counts
-        s = np.zeros(len(hashes) + n_rows, np.int64)
+        s = np.ones(len(hashes) + n_rows + 1, np.int64)
+        s[-1] = 0
         self.places = np.arange(len(hashes)) + rows
-        s[self.places] = symbols + 1
+        s[self.places] = symbols + 2
         self.n = len(s)
-        size = len(self.alphabet) + 1
+        size = len(self.alphabet) + 2
         order = suffix_array(s)
         self.before = np.r_[0, np.cumsum(np.bincount(s, minlength=size))]
         self.tree = WaveletTree(s[order - 1], size)
@@ -126,7 +127,7 @@ class FMIndex:
         symbols = np.searchsorted(self.alphabet, phrases)
         known = (self.alphabet[np.minimum(symbols, len(self.alphabet) - 1)] == phrases).all(axis=1)
         which = np.flatnonzero(known)
-        symbols = symbols[which] + 1
+        symbols = symbols[which] + 2
         lo, hi = np.zeros(len(which), np.int64), np.full(len(which), self.n, np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
             lo, hi = (self.before[symbols[:, k]] + x for x in self.tree.rank(symbols[:, k], lo, hi))
