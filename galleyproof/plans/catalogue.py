@@ -190,7 +190,7 @@ def parse_sections(m):
 
 
 MARKED = f"""{FIVE}, marked as (select paper_id, round, methods, {_marks('abstract', t.UNIVERSAL)} as au, {_marks('abstract', t.RESTRICTION)} as ar, {_marks('introduction', t.UNIVERSAL)} as iu, {_marks('methods', t.RESTRICTION)} as mr from sections),
-leak as (select *, case when mr = '' then [] else string_split(mr, '|') end as ms, list_filter(case when mr = '' then [] else string_split(mr, '|') end, lambda e: not list_contains(string_split(ar, '|'), e)) as missing from marked),
+leak as (select *, case when mr = '' then cast([] as varchar[]) else string_split(mr, '|') end as ms, list_filter(case when mr = '' then cast([] as varchar[]) else string_split(mr, '|') end, lambda e: not list_contains(string_split(ar, '|'), e)) as missing from marked),
 found as (select *, (au <> '' or iu <> '') and mr <> '' and len(missing) / greatest(1, len(ms)) >= 0.6 as asymmetric, round(len(missing) / greatest(1, len(ms)), 3) as leak_ratio from leak)"""
 
 
