@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,3 +91,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(starts)), lengths)
     first = np.cumsum(lengths) - lengths
     return np.arange(len(owner)) - first[owner] + starts[owner], owner
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and others share their memory."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

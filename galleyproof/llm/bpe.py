@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrays
+
 REMEMBERED = 1 << 18
 EMIT_BYTES = 1 << 20
 
@@ -173,6 +175,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 yield _with(b, lo, hi, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        del encoder
+        arrays.trim()
 
     return docs.mapInArrow(run, _schema(docs, out, T.ArrayType(T.IntegerType())))
 

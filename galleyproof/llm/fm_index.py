@@ -41,7 +41,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key *= size
-        key[: n - k] += s[k:].astype(np.int64) + 1
+        key[: max(0, n - k)] += s[k:].astype(np.int64) + 1
     order = np.argsort(key)
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]

@@ -25,7 +25,7 @@ from .cluster import components, cut
 RADIUS = 1
 CODED = 15
 NEAREST = 4
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 # Byte v as eight bytes of 0 or 1, so that sums of up to 255 rows add eight counters at a time.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
