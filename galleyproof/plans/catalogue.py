@@ -191,7 +191,7 @@ def parse_sections(m):
 
 MARKED = f"""{FIVE}, marked as (select paper_id, round, methods, {_marks('abstract', t.UNIVERSAL)} as au, {_marks('abstract', t.RESTRICTION)} as ar, {_marks('introduction', t.UNIVERSAL)} as iu, {_marks('methods', t.RESTRICTION)} as mr from sections),
 leak as (select *, case when mr = '' then cast([] as varchar[]) else string_split(mr, '|') end as ms, list_filter(case when mr = '' then cast([] as varchar[]) else string_split(mr, '|') end, lambda e: not list_contains(string_split(ar, '|'), e)) as missing from marked),
-found as (select *, (au <> '' or iu <> '') and mr <> '' and len(missing) / greatest(1, len(ms)) >= 0.6 as asymmetric, round(len(missing) / greatest(1, len(ms)), 3) as leak_ratio from leak)"""
+found as (select *, (au <> '' or iu <> '') and mr <> '' and len(missing) / greatest(1, len(ms)) >= 0.6 as lopsided, round(len(missing) / greatest(1, len(ms)), 3) as leak_ratio from leak)"""
 
 
 def _scope(m: DataFrame) -> DataFrame:
@@ -208,12 +208,12 @@ def scan_markers(m):
     return out.select("paper_id", "round", *(F.array_join(c, "|").alias(c) for c in ("abstract_universal", "abstract_restriction", "introduction_universal", "methods_restriction")))
 
 
-@query(f"with {MARKED} select paper_id, round, leak_ratio from found where asymmetric", "manuscript")
+@query(f"with {MARKED} select paper_id, round, leak_ratio from found where lopsided", "manuscript")
 def scope_asymmetry(m):
     return _scope(m).where("asymmetric").select("paper_id", "round", "leak_ratio")
 
 
-@query(f"with {MARKED} select round, case when methods = '' then 'unverifiable' when asymmetric then 'failed' else 'verified' end as status, count(*) as n from found group by all", "manuscript")
+@query(f"with {MARKED} select round, case when methods = '' then 'unverifiable' when lopsided then 'failed' else 'verified' end as status, count(*) as n from found group by all", "manuscript")
 def scope_rollup(m):
     status = F.when(F.col("methods") == "", "unverifiable").when(F.col("asymmetric"), "failed").otherwise("verified")
     return _scope(m).groupBy("round", status.alias("status")).agg(F.count("*").alias("n"))
