@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
+from .cluster import cut
 
 REMEMBERED = 1 << 18
 EMIT_BYTES = 1 << 20
@@ -229,11 +230,11 @@ def context_totals(histogram: DataFrame, width: int = 1024) -> DataFrame:
     context_limit, n_docs (of that length), docs_within and tokens_within (of at most that length), docs_beyond,
     tokens_truncated (what is left where each document is cut at the limit) and quantile (share of documents
     within). Suffix sums are taken in two levels, within runs of ``width`` lengths and over the runs, so no
-    task sees the whole histogram.
+    task sees the whole histogram. The histogram, one row for each length, is written once, as both levels read it.
     """
     from pyspark.sql import Window
 
-    h = histogram.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("run", F.floor(F.col("length") / width))
+    h = cut(histogram).withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("run", F.floor(F.col("length") / width))
     runs = h.groupBy("run").agg(F.sum("n_docs").alias("run_docs"), F.sum("tokens").alias("run_tokens"))
     over = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
