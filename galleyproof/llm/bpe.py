@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -41,6 +42,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
+def bytes_by_rank(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token of each rank; None for a rank that no token has."""
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def _varint(n: int) -> bytes:
     out = b""
     while n > 127:
@@ -85,9 +94,6 @@ class Encoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.find = regex.compile(white_space(pattern)).findall
         self.table = {b: c for b, c in enumerate(characters())}
-        self.bytes: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, matches: set[str]) -> None:
@@ -131,9 +137,6 @@ class Encoder:
     def count(self, texts: list[str]) -> list[int]:
         return [sum(map(len, ids)) for ids in self.pieces(texts)]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
-
 
 def white_space(pattern: str) -> str:
     r"""The pattern with \s and \S as White_Space; this engine's own class has four control characters more."""
@@ -187,16 +190,27 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids
     at = tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        table = pa.array(bytes_by_rank(load_ranks(path)), pa.large_binary())
         for b in batches:
-            sizes = [4 * len(x.values) if x.is_valid else 0 for x in b.column(at)]
-            for lo, hi in _cuts(sizes, EMIT_BYTES):
+            sizes = pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in _cuts((4 * sizes).tolist(), EMIT_BYTES):
                 rows = b.column(at).slice(lo, hi - lo)
-                yield _with(b, lo, hi, out, pa.array([encoder.decode(x.values.to_pylist()) if x.is_valid else None for x in rows], pa.binary()))
+                yield _with(b, lo, hi, out, _joined(table.take(rows.flatten()), sizes[lo:hi], rows.is_valid()))
 
     return tokens.mapInArrow(run, _schema(tokens, out, T.BinaryType()))
 
 
+def _joined(tokens: pa.Array, sizes: np.ndarray, valid: pa.Array) -> pa.Array:
+    """Runs of so many tokens each, joined; the tokens lie one after the other already, so only the bounds are new."""
+    if tokens.null_count:
+        raise ValueError("an id that no token has")
+    ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int64)
+    bounds = ends[np.cumsum(np.r_[0, sizes])].astype(np.int64)
+    data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
+    joined = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), data])
+    return pc.if_else(valid, joined, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """The columns of docs but the text, and ``out``: the number of token ids of the whole text (null: 0)."""
     at = docs.columns.index(text_col)

@@ -67,6 +67,11 @@ def test_bpe_round_trip(docs, empty):
     assert len(got) == len(ROWS)
     for r in got:
         assert r.token_ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    ids = docs.sparkSession.createDataFrame([(None,), ([],), ([5, 6],), (None,), ([7],)], "token_ids array<int>")
+    tokens = bpe.bytes_by_rank(bpe.load_ranks(path))
+    assert Counter(r.decoded and bytes(r.decoded) for r in bpe.decode(ids, path, pattern).collect()) == Counter([None, None, b"", tokens[5] + tokens[6], tokens[7]])
+    with pytest.raises(Exception, match="out of bounds"):
+        bpe.decode(docs.sparkSession.createDataFrame([([10**6],)], "token_ids array<int>"), path, pattern).collect()
     assert bpe.length_histogram(empty, path, pattern).count() == 0
     totals = bpe.context_totals(bpe.length_histogram(docs, path, pattern)).collect()
     n = np.array([len(r.token_ids) for r in got])
