@@ -96,6 +96,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on after a task, and others share their memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

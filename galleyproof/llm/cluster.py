@@ -70,6 +70,12 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> None:
+    """Smaller Arrow batches from here on: a batch is held by the JVM and by Python, in several copies, for each running task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that only finished steps refer to; Spark deletes them once the driver has collected its garbage."""
     gc.collect()

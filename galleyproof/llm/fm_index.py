@@ -212,6 +212,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, window:
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                 ], [*part_of.schema.names, *(n for n, _ in _FIELDS)])
+        arrays.trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in _FIELDS)]))
 
@@ -267,20 +268,7 @@ def _count_hits(df: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """found with the byte ranges in spans taken out of its texts; other texts stay as they are."""
-    at, spans_at = found.columns.index(text_col), found.columns.index("spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist()):
-                if spans:
-                    raw = text.encode()
-                    edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(raw)]
-                    text = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])).decode()
-                texts.append(text)
-            columns = list(b.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
-
-    return found.mapInArrow(run, found.schema)
+    """found with the byte ranges in spans taken out of its texts; other texts stay as they are. Ranges begin and end beside ASCII bytes or at an end."""
+    raw, zero = F.col(text_col).cast("binary"), F.array(F.lit(0).cast("long"))
+    kept = F.zip_with(F.concat(zero, F.col("spans.end")), F.concat(F.col("spans.start"), F.array(F.octet_length(text_col).cast("long"))), lambda a, z: F.substring(raw, (a + 1).cast("int"), (z - a).cast("int")).cast("string"))
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, F.array_join(kept, "")).otherwise(F.col(text_col)))

@@ -102,6 +102,11 @@ def test_contamination(spark, docs, empty):
         got = fm_index.find_contamination(docs, items, phrase_bytes=size).collect()
         by = {r.text: r for r in got}
         assert by[LONG].items == ["1"] and by[TEXTS[6]].items == ["1", "4"] and by["one"].n_hit == 0 and by[None].n_words == 0
+        cut = {r.doc_id: r for r in fm_index.cut_spans(fm_index.find_contamination(docs, items, phrase_bytes=size)).collect()}
+        for r in got:
+            edges = [0, *(e for s in r.spans for e in (s.start, s.end)), len((r.text or "").encode())]
+            want = b"".join((r.text or "").encode()[a:z] for a, z in zip(edges[::2], edges[1::2])).decode()
+            assert (cut[r.doc_id].text or "") == want and (cut[r.doc_id].text is None) == (r.text is None)
     assert fm_index.find_contamination(empty, items).count() == 0
 
 
