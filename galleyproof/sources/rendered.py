@@ -89,6 +89,23 @@ select concat('t',cast(e.event_id as string),':',k.kind) as task_id, e.event_id
          '","reason":"r',cast(e.user_id as string),'"}') end as body, e.ts as ts
 from events e cross join (select 'primary' as kind, 0 as n union all select 'devils_advocate' as kind, 1 as n union all select 'primary' as kind, 2 as n) k
 where e.event_id % 17 <> 0 and (k.n < 2 or e.event_id % 19 = 0)
+""",
+    "triple_reply": """
+select cast(floor(event_id / 5) as bigint) as paper_id,
+  case event_id % 5 when 0 then 'abstract' when 1 then 'introduction' when 2 then 'methods' when 3 then 'results' else 'conclusion' end as section,
+  case when event_id % 13 = 0 then 'no list here'
+       else concat('```json',chr(10),'[',substr(repeat(concat(',{"subject":"s',cast(event_id as string),'","predicate":"',repeat('p',cast(event_id % 400 as int)),'","scope":"all"}'),cast(event_id % 11 as int)),2),']',chr(10),'```') end as body
+from events where event_id % 17 <> 3
+""",
+    "compare_reply": """
+select cast(floor(event_id / 3) as bigint) as paper_id,
+  case event_id % 3 when 0 then 'abstract' when 1 then 'abstract' else 'introduction' end as section_a,
+  case event_id % 3 when 0 then 'conclusion' when 1 then 'methods' else 'results' end as section_b,
+  concat('[{"claim_a":"a","claim_b":"b","contradiction_kind":"',
+    case event_id % 5 when 0 then 'direct_opposite' when 1 then 'scope_mismatch' when 2 then 'promise_not_delivered' when 3 then 'number_mismatch' else 'bogus' end,
+    '","confidence":"',case event_id % 4 when 0 then 'HIGH' when 1 then 'medium' when 2 then 'low' else 'LOUD' end,
+    '"},{"claim_a":"c","claim_b":"d","contradiction_kind":"scope_mismatch","confidence":"',case when event_id % 6 < 3 then 'high' else 'low' end,'"}]') as body
+from events where event_id % 7 <> 0
 """,
     "drift_pair": """
 select concat('scope:',cast(doc_id as string)) as locator, substr(text,1,400) as prev_quote,
