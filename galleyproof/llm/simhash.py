@@ -10,7 +10,7 @@ compares its residents with its visitors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +24,6 @@ from .cluster import components, cut
 
 RADIUS = 1
 CODED = 15
-NEAREST = 4
 PAIRS = 1 << 19
 
 # Byte v as eight bytes of 0 or 1, so that sums of up to 255 rows add eight counters at a time.
@@ -34,64 +33,73 @@ for _bit in range(CODED):
     _SYNDROME ^= np.where(np.arange(1 << CODED) >> _bit & 1, _bit + 1, 0).astype(np.uint8)
 
 
+def shingles(part: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the word shingles of some texts, one text after the other, and the number of each."""
+    hashes, counts = [], np.zeros(len(bounds) - 1, np.int64)
+    whole = part.tobytes().lower()
+    for i in range(len(counts)):
+        words = whole[bounds[i] : bounds[i + 1]].split()
+        if not words:
+            continue
+        text = b" ".join(words)
+        if len(words) <= shingle:
+            hashes.append(xxhash.xxh64_intdigest(text, 42))
+            counts[i] = 1
+            continue
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths).tolist()
+        hashes += [xxhash.xxh64_intdigest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        counts[i] = len(words) - shingle + 1
+    return np.array(hashes, np.uint64), counts
+
+
+def vote(h: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
+    """The majority of each bit, a row of ``lanes`` words for each run of hashes; no run is empty."""
+    out = np.zeros((len(counts), lanes), np.uint64)
+    if not len(counts):
+        return out
+    steps = -(-counts // 255)
+    step, owner = arrays.ranges(np.zeros(len(counts), np.int64), steps)
+    cuts = (np.cumsum(counts) - counts)[owner] + 255 * step
+    first = np.cumsum(steps) - steps
+    for lane in range(lanes):
+        spread = _SPREAD[(arrays.mix(h + np.uint64(lane)) if lane else h).view(np.uint8).reshape(-1, 8)]
+        ones = np.add.reduceat(spread, cuts, axis=0).view(np.uint8).reshape(-1, 64)
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+        bits = (2 * ones > counts[:, None]).astype(np.uint8)
+        out[:, lane] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def sketch(column, shingle: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints, one row of ``lanes`` words for each text of an Arrow column, and the number of shingles of each."""
     data, offsets = arrays.buffers(column)
     out, sizes = np.zeros((len(offsets) - 1, lanes), np.uint64), np.zeros(len(offsets) - 1, np.int64)
     for at, to, part, bounds in arrays.chunks(data, offsets):
-        hashes, counts = [], np.zeros(to - at, np.int64)
-        whole = part.tobytes().lower()
-        for i in range(to - at):
-            words = whole[bounds[i] : bounds[i + 1]].split()
-            if not words:
-                continue
-            text = b" ".join(words)
-            if len(words) <= shingle:
-                hashes.append(xxhash.xxh64_intdigest(text, 42))
-                counts[i] = 1
-                continue
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(lengths + 1) - 1
-            starts = (ends - lengths).tolist()
-            hashes += [xxhash.xxh64_intdigest(text[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-            counts[i] = len(words) - shingle + 1
+        h, counts = shingles(part, bounds, shingle)
         sizes[at:to] = counts
         full = np.flatnonzero(counts)
-        if not len(full):
-            continue
-        h = np.array(hashes, np.uint64)
-        steps = -(-counts[full] // 255)
-        step, owner = arrays.ranges(np.zeros(len(full), np.int64), steps)
-        cuts = (np.cumsum(counts[full]) - counts[full])[owner] + 255 * step
-        first = np.cumsum(steps) - steps
-        for lane in range(lanes):
-            spread = _SPREAD[(arrays.mix(h + np.uint64(lane)) if lane else h).view(np.uint8).reshape(-1, 8)]
-            ones = np.add.reduceat(spread, cuts, axis=0).view(np.uint8).reshape(-1, 64)
-            ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
-            bits = (2 * ones > counts[full][:, None]).astype(np.uint8)
-            out[at + full, lane] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[at + full] = vote(h, counts[full], lanes)
     return out, sizes
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, wide: int = 0) -> DataFrame:
-    """(id, f0, ..., n[, wide]): the SimHash of the XXH64 values of each text's word shingles, one column a lane, and their number.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1) -> DataFrame:
+    """(id, f0, ..., n): the SimHash of the XXH64 values of each text's word shingles, one column a lane, and their number.
 
     A-Z are lowered and words part at ASCII white space. Texts of fewer words are one shingle; a text
-    without words (null, empty, blank) has fingerprint zero. Further lanes mix the same shingle hashes. wide holds
-    ``wide`` lanes as bytes, those of the columns among them.
+    without words (null, empty, blank) has fingerprint zero. Further lanes mix the same shingle hashes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *(f"f{k}" for k in range(lanes)), "n", *["wide"] * bool(wide)]
+    names = ["id", *(f"f{k}" for k in range(lanes)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, n = sketch(b.column(1), shingle, max(lanes, wide))
+            f, n = sketch(b.column(1), shingle, lanes)
             columns = [b.column(0), *(pa.array(np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(lanes)), pa.array(n)]
-            if wide:
-                columns.append(pa.array([row.tobytes() for row in f[:, :wide]], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([f"id {kind}", *(f"f{k} long" for k in range(lanes)), "n long", *["wide binary"] * bool(wide)])
+    schema = ", ".join([f"id {kind}", *(f"f{k} long" for k in range(lanes)), "n long"])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -135,11 +143,10 @@ def _unite(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _meet(key: np.ndarray, home: np.ndarray, f: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def meet(key: np.ndarray, home: np.ndarray, f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (a, b) linked at the anchors in key (sorted): residents against all who are there, in blocks of pairs.
 
-    A block's links are cut to a spanning forest, or with ``nearest`` to that many for each resident, so that a
-    dense group gives links in proportion to its rows.
+    A block's links are cut to a spanning forest, so that a dense group gives links in proportion to its rows.
     """
     bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[bounds, len(key)])
@@ -162,14 +169,7 @@ def _meet(key: np.ndarray, home: np.ndarray, f: np.ndarray, most: int, nearest:
             for lane in range(1, f.shape[1]):
                 apart += np.bitwise_count(f[one, lane] ^ f[other, lane])
         linked = np.flatnonzero((apart <= most) & (one != other))
-        if len(linked) and nearest:
-            one, other = one[linked], other[linked]
-            by = np.lexsort((other, apart[linked], one))
-            one, other = one[by], other[by]
-            first = np.maximum.accumulate(np.where(np.r_[True, one[1:] != one[:-1]], np.arange(len(one)), 0))
-            few = np.arange(len(one)) - first < nearest
-            got.append((one[few], other[few]))
-        elif len(linked):
+        if len(linked):
             nodes, places = np.unique(np.r_[one[linked], other[linked]], return_inverse=True)
             root = _unite(places[: len(linked)], places[len(linked) :], len(nodes))
             got.append((nodes, nodes[root]))
@@ -180,35 +180,8 @@ def _meet(key: np.ndarray, home: np.ndarray, f: np.ndarray, most: int, nearest:
     return a[a != b], b[a != b]
 
 
-def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int, nearest: int = 0) -> DataFrame:
-    """(a, b): links between the node numbers of prints (node, f0, ...) at ``most`` differing bits or fewer, a > b.
-
-    At each anchor the compared pairs are exhaustive. The links given join what all links would join; with
-    ``nearest``, they are each fingerprint's nearest at its home in each block.
-    """
-    places = blocks_of(lanes, per_lane)
-    names = [f"f{k}" for k in range(lanes)]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            for block, (lane, first, width) in enumerate(places):
-                value = cols[1 + lane].view(np.uint64) >> np.uint64(first)
-                value = (value & np.uint64((1 << width) - 1)).astype(np.int64)
-                syndrome = _SYNDROME[value & ((1 << CODED) - 1)]
-                for s, masks in enumerate(flips(width, slack)):
-                    rows = np.flatnonzero(syndrome == s)
-                    if not len(rows):
-                        continue
-                    for lo in range(0, len(rows), max(1, 200_000 // len(masks))):
-                        part = rows[lo : lo + max(1, 200_000 // len(masks))]
-                        anchor = (value[part][:, None] ^ masks[None, :]) | (block << 32)
-                        home = np.zeros(anchor.shape, bool)
-                        home[:, 0] = True
-                        source = np.repeat(part, len(masks))
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.ravel()), pa.array(home.ravel()), *(pa.array(c[source]) for c in cols)], ["anchor", "home", "node", *names])
+def meetings(at_anchors: DataFrame, names: list[str], link: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b), a > b: what ``link`` joins of the rows (anchor, home, node, fingerprint columns) that stand together at an anchor."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -222,7 +195,7 @@ def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int, n
             if end:
                 home, node = t["home"].to_numpy()[:end], t["node"].to_numpy()[:end]
                 f = np.stack([t[c].to_numpy()[:end].view(np.uint64) for c in names], axis=1)
-                a, b = _meet(key[:end], home, f, most, nearest)
+                a, b = link(key[:end], home, f)
                 a, b = node[a], node[b]
                 if len(a):
                     both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
@@ -246,20 +219,43 @@ def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int, n
             if out is not None:
                 yield out
 
-    at_anchors = prints.select("node", *names).mapInArrow(spread, "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in names))
     return at_anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
-def similarity(a, b, n_a, n_b):
-    """Jaccard similarity of two shingle sets estimated from wide fingerprints (bytes) and the sets' sizes."""
-    x = np.frombuffer(b"".join(a), np.uint64).reshape(len(a), -1) ^ np.frombuffer(b"".join(b), np.uint64).reshape(len(b), -1)
-    share = np.bitwise_count(x).sum(axis=1, dtype=np.int64) / (64 * max(1, x.shape[1]))
-    common = np.maximum(0, np.cos(np.pi * share)) * np.sqrt(n_a * n_b)
-    common = np.minimum(common, np.minimum(n_a, n_b))
-    return common / np.maximum(n_a + n_b - common, 1)
+def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int) -> DataFrame:
+    """(a, b): links between the node numbers of prints (node, f0, ...) at ``most`` differing bits or fewer, a > b.
+
+    At each anchor the compared pairs are exhaustive. The links given join what all links would join.
+    """
+    places = blocks_of(lanes, per_lane)
+    names = [f"f{k}" for k in range(lanes)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            for block, (lane, first, width) in enumerate(places):
+                value = cols[1 + lane].view(np.uint64) >> np.uint64(first)
+                value = (value & np.uint64((1 << width) - 1)).astype(np.int64)
+                syndrome = _SYNDROME[value & ((1 << CODED) - 1)]
+                for s, masks in enumerate(flips(width, slack)):
+                    rows = np.flatnonzero(syndrome == s)
+                    if not len(rows):
+                        continue
+                    for lo in range(0, len(rows), max(1, 200_000 // len(masks))):
+                        part = rows[lo : lo + max(1, 200_000 // len(masks))]
+                        anchor = (value[part][:, None] ^ masks[None, :]) | (block << 32)
+                        home = np.zeros(anchor.shape, bool)
+                        home[:, 0] = True
+                        source = np.repeat(part, len(masks))
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor.ravel()), pa.array(home.ravel()), *(pa.array(c[source]) for c in cols)], ["anchor", "home", "node", *names])
+
+    at_anchors = prints.select("node", *names).mapInArrow(spread, "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in names))
+    return meetings(at_anchors, names, lambda key, home, f: meet(key, home, f, most))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, most: int = 4, per_lane: int = 3, slack: int | None = None, wide: int = 0, least: float = 0.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, most: int = 4, per_lane: int = 3, slack: int | None = None) -> DataFrame:
     """(id, f0, ..., n, component): documents whose fingerprints differ in ``most`` bits or fewer, joined transitively.
 
     Documents of equal fingerprints are one node before anything is compared, so a group of copies costs
@@ -268,29 +264,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and are linked like any other; repeated ids are rows of their own; an empty table gives an empty
     result. With one lane and the default slack the search is exhaustive. With several lanes and a given slack it
     finds a link where some block of the lanes * per_lane differs in ``slack`` bits or fewer.
-
-    With ``wide``, links are only candidates, each fingerprint's nearest in each block; those count whose similarity, estimated
-    from ``wide`` lanes and the numbers of shingles, is at least ``least``.
     """
     names = [f"f{k}" for k in range(lanes)]
     slack = most // (lanes * per_lane) if slack is None else slack
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, lanes, wide))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle, lanes))
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    extra = [F.min(F.struct("wide", "n")).alias("one")] if wide else []
-    classes = cut(prints.groupBy(*names).agg(F.min("id").alias("first"), *extra).withColumn("node", node))
-    edges = links(classes, lanes, most, per_lane, slack, NEAREST if wide else 0)
-    if wide:
-        one = classes.select("node", "one.*")
-        a, b = (one.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-                j = similarity(c["wide_a"].to_pylist(), c["wide_b"].to_pylist(), c["n_a"].to_numpy(), c["n_b"].to_numpy()) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(j >= least)), c["b"].filter(pa.array(j >= least))], ["a", "b"])
-
-        edges = edges.distinct().join(a, "a").join(b, "b").select("a", "b", "wide_a", "wide_b", "n_a", "n_b").mapInArrow(check, "a long, b long")
-    joined = components(edges)
+    classes = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("node", node))
+    joined = components(links(classes, lanes, most, per_lane, slack))
     named = classes.join(joined, "node", "left").withColumn("component_node", F.coalesce("component", "node"))
     lowest = named.groupBy("component_node").agg(F.min("first").alias("component"))
     labels = named.drop("component").join(lowest, "component_node").select(*names, "component")
