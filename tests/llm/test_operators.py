@@ -133,6 +133,16 @@ def test_nearest(spark):
     assert multi_index.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_quality_counts_all_documents(spark):
+    clean, junk = "plain words on a quiet page number {0} of book {0}", "zqx vkw bjh number {0} of book {0}"
+    rows = [(i, clean.format(i * 7919)) for i in range(200)] + [(1_000 + i, junk.format(i * 104729)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    weights = resampling.fit(docs, labels)
+    kept = {r.doc_id for r in resampling.resample(docs, weights).where("selected").collect()}
+    assert kept == set(range(200))
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://A.net/x", "https://m.example.net/en/1?q=2#f", "http://www.example.com/de/9", "http://b.org/fr/", "http://b.org/en/1", "http://xnet/1"]
     got = {r.id: r for r in url_trees.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
