@@ -82,7 +82,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     hardly cluster, so that a recall over 0.9 takes a large share; clustered vectors need far less.
 
     Null, zero, or not wholly finite vectors, rows with a null id, and vectors of another length than the sample's most common
-    one take no part. Of equal vectors only the k + 1 smallest ids can be among the k nearest, so
+    one take no part. Of equal vectors only the k + 1 smallest distinct ids, with k rows of each, can be among the k nearest, so
     others are left out of the index, which changes no result. Equal ids are entries of their own, but a query passes
     over all rows with its id; queries with one id give their results once for each. An empty table gives no rows.
     """
@@ -106,9 +106,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, cells)], ["id", "vec", "c1", "c2"])
 
     copies = Window.partitionBy("__a", "__b").orderBy("id")
-    entries = named.withColumns({"__a": F.xxhash64("vec"), "__b": F.xxhash64(F.lit(1), "vec")}).withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k + 1).select("id", "vec")
+    same = Window.partitionBy("__a", "__b", "id").orderBy("id")
+    digested = named.withColumns({"__a": F.xxhash64("vec"), "__b": F.xxhash64(F.lit(1), "vec")})
+    entries = digested.withColumn("__n", F.dense_rank().over(copies)).where(F.col("__n") <= k + 1)
+    entries = entries.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k).select("id", "vec")
     entries = cut(entries.mapInArrow(assign, f"id {kind}, vec array<float>, c1 int, c2 int"))
-    queries = named.where(F.col("id") % every == 0)
+    queries = digested.where(F.col("id") % every == 0).withColumn("__n", F.row_number().over(same)).select("id", "vec", F.xxhash64("id", "__a", "__b", "__n").alias("key"))
     n_queries = queries.count()
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for c1, c2, n in entries.groupBy("c1", "c2").count().collect():  # at most centroids ** 2 rows
@@ -134,20 +137,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                             c1s.append(c1)
                             bs.append(block)
                             masks.append(np.packbits(mask).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), b.column(1).take(pa.array(take, pa.int64())), pa.array(c1s, pa.int32()), pa.array(bs, pa.int32()), pa.array(masks, pa.binary())], ["query_id", "query", "c1", "block", "mask"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), b.column(1).take(pa.array(take, pa.int64())), pa.array(c1s, pa.int32()), pa.array(bs, pa.int32()), pa.array(masks, pa.binary()), b.column(2).take(pa.array(take, pa.int64()))], ["query_id", "query", "c1", "block", "mask", "key"])
 
     block_of = F.element_at(F.array(*(F.lit(int(n)) for n in blocks)), F.col("c1") + 1)
     cells = entries.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    asked = queries.mapInArrow(probe, f"query_id {kind}, query array<float>, c1 int, block int, mask binary").withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int"))
+    asked = queries.mapInArrow(probe, f"query_id {kind}, query array<float>, c1 int, block int, mask binary, key long").withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int"))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, found = left.combine_chunks(), []
-        empty = {"query_id": [], "id": [], "score": []}
+        empty = {"query_id": [], "key": [], "id": [], "score": []}
         if q.num_rows and right.num_rows:
             right = right.combine_chunks()
             e, ids = _vectors(right["vec"].combine_chunks()), right["id"].to_numpy()
             c2, norms = right["c2"].to_numpy(), (e * e).sum(1)
             qv, qid, masks = _vectors(q["query"].combine_chunks()), q["query_id"].to_numpy(), q["mask"].to_pylist()
+            keys = q["key"].to_numpy()
             for lo in range(0, len(qv), 128):
                 rough = norms[None] - 2 * qv[lo : lo + 128] @ e.T
                 for i in range(lo, min(lo + 128, len(qv))):
@@ -158,9 +162,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                         may = may[r <= np.partition(r, k - 1)[k - 1] + 1e-6 * (1 + np.abs(r).max())]
                     d = np.sqrt(((e[may] - qv[i]) ** 2).sum(1))
                     best = np.lexsort((ids[may], d))[:k]
-                    found += [(qid[i], ids[may[t]], d[t]) for t in best]
-        return pa.table(dict(zip(empty, map(list, zip(*found)))) if found else empty, schema=pa.schema([("query_id", left.schema.field("query_id").type), ("id", left.schema.field("query_id").type), ("score", pa.float64())]))
+                    found += [(qid[i], keys[i], ids[may[t]], d[t]) for t in best]
+        return pa.table(dict(zip(empty, map(list, zip(*found)))) if found else empty, schema=pa.schema([("query_id", left.schema.field("query_id").type), ("key", pa.int64()), ("id", left.schema.field("query_id").type), ("score", pa.float64())]))
 
-    near = asked.groupBy("c1", "block", "lane").cogroup(cells.groupBy("c1", "block", "lane")).applyInArrow(rerank, f"query_id {kind}, id {kind}, score double")
-    top = Window.partitionBy("query_id").orderBy("score", "id")
+    near = asked.groupBy("c1", "block", "lane").cogroup(cells.groupBy("c1", "block", "lane")).applyInArrow(rerank, f"query_id {kind}, key long, id {kind}, score double")
+    top = Window.partitionBy("query_id", "key").orderBy("score", "id")
     return near.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -133,6 +133,19 @@ def test_nearest(spark):
     assert multi_index.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_repeated_ids(spark):
+    x = np.random.default_rng(2).normal(size=(30, 8)).astype(np.float32)
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(100, x[3].tolist())] * 14 + [(200, x[3].tolist())] * 12 + [(300 + i, x[3].tolist()) for i in range(12)]
+    got = multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    of = lambda q: [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r[1])]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q in (100, 200, 300):
+        d = np.sqrt(((v - x[3].astype(float)) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q]
+        copies = int((ids == q).sum())
+        assert Counter(of(q)) == Counter(ids[order[:10]].tolist() * copies)
+
+
 def test_quality_counts_all_documents(spark):
     clean, junk = "plain words on a quiet page number {0} of book {0}", "zqx vkw bjh number {0} of book {0}"
     rows = [(i, clean.format(i * 7919)) for i in range(200)] + [(1_000 + i, junk.format(i * 104729)) for i in range(200)]
