@@ -26,7 +26,7 @@ select d.doc_id as paper_id, r.round as round, concat(
   case when d.doc_id % 8 = 0 then concat('% todo: holds for all inputs',chr(10)) else '' end,
   chr(92),'section{Introduction} Prior work ',chr(92),'cite{p',cast(d.doc_id % 7 as string),',p',cast(d.doc_id % 11 as string),
   '} is close. We extend ',chr(92),'citep[see][]{p',cast((d.doc_id + r.round) % 60 as string),'} today. ',
-  translate(substr(d.text,1,300),'$%','  '),chr(10),
+  translate(d.text,'$%','  '),chr(10),
   case when d.doc_id % 10 = 9 then '' else concat(chr(92),'section{Methods} We work in the ',
     case when d.doc_id % 2 = 0 then 'steady state with sparse and diagonal noise, assuming that drift is linear' else 'usual regime' end,'.',chr(10)) end,
   chr(92),'section{Results} We compute $$ ',cast(d.doc_id % 30 as string),' + ',cast(d.doc_id % 13 as string),' = ',
@@ -46,7 +46,7 @@ select concat('p',cast(p_partkey as string)) as cite_key,
   cast(1990 + p_size % 35 as int) as year,
   concat('@article{p',cast(p_partkey as string),',',chr(10),'  author = {Smith',chr(97 + cast(p_partkey % 20 as int)),', J.},',chr(10),
     '  title = {{',p_name,'} ',p_type,'},',chr(10),'  year = {',cast(1990 + p_size % 35 as string),'}',chr(10),'}') as bibtex
-from part where p_partkey < 50
+from part
 """,
     "catalog": """
 select concat('10.1234/part.',cast(p_partkey as string)) as doi,
@@ -56,7 +56,7 @@ select concat('10.1234/part.',cast(p_partkey as string)) as doi,
   case when p_partkey % 5 = 0 then 'Alice Different' else concat('J. Smith',chr(97 + cast(p_partkey % 20 as int))) end as author,
   case when p_partkey % 2 = 0 then 'crossref' else 'semanticscholar' end as source,
   cast(p_partkey % 5 as int) as hit_rank
-from part where p_partkey < 50
+from part
 """,
     "target": """
 select r.round as round, o.o_orderkey as seq,
@@ -108,9 +108,9 @@ select cast(floor(event_id / 3) as bigint) as paper_id,
 from events where event_id % 7 <> 0
 """,
     "drift_pair": """
-select concat('scope:',cast(doc_id as string)) as locator, substr(text,1,400) as prev_quote,
-  case when doc_id % 3 = 0 then replace(substr(text,1,400),'e','for all 7')
-       when doc_id % 3 = 1 then concat(substr(text,1,396),' 9') else substr(text,1,400) end as curr_quote
+select concat('scope:',cast(doc_id as string)) as locator, text as prev_quote,
+  case when doc_id % 3 = 0 then replace(text,'e','for all 7')
+       when doc_id % 3 = 1 then concat(substr(text,1,length(text) - 4),' 9') else text end as curr_quote
 from documents where length(text) > 20
 """,
 }
