@@ -146,6 +146,23 @@ def test_nearest_repeated_ids(spark):
         assert Counter(of(q)) == Counter(ids[order[:10]].tolist() * copies)
 
 
+def test_nearest_skips_cells(spark):
+    x = np.random.default_rng(3).normal(size=(6_000, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(float)
+
+    def recall(**limits):
+        got = {(r.query_id, r.id) for r in multi_index.nearest(vectors, **limits).collect()}
+        hits = 0
+        for q in range(0, 6_000, 100):
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += sum((q, int(i)) in got for i in np.argsort(d, kind="stable")[:10])
+        return hits / 600
+
+    assert recall(share=0.01, least=60) < 0.9 < recall(least=60)
+
+
 def test_quality_counts_all_documents(spark):
     clean, junk = "plain words on a quiet page number {0} of book {0}", "zqx vkw bjh number {0} of book {0}"
     rows = [(i, clean.format(i * 7919)) for i in range(200)] + [(1_000 + i, junk.format(i * 104729)) for i in range(200)]
