@@ -1,25 +1,27 @@
 """Removal of long byte strings that occur more than once, by a sparse, distributed suffix array.
 
-A string of ``length`` bytes that occurs twice is a suffix whose first ``length`` bytes it shares with a
-neighbour in suffix order. Sorting every suffix would move each byte ``length`` times, so suffixes travel
-in families. The token of a window of ``length`` bytes is its leftmost minimal ``token``-gram under a hash;
-windows with the same token at the same place, which follow each other, are a family, stored once as the
-stretch of bytes they cover. Equal windows have equal tokens, so:
+A string of ``length`` bytes that occurs twice is a suffix whose first ``length`` bytes it shares with another.
+Sorting every suffix would move each byte ``length`` times, so suffixes travel in families. The token of a window
+of ``length`` bytes is its leftmost minimal ``token``-gram under a hash; windows with the same token at the same
+place, which follow each other, are a family, stored once as the stretch of bytes they cover. Equal windows have
+equal tokens at equal offsets, so:
 
 1. Tokens that occur once in the corpus can't belong to a repeated window; their families go no further.
 2. Equal stretches are counted before anything is moved: a family whose stretch occurs twice is repeated,
    and one copy of it stands for all in what follows.
-3. The remaining stretches are range-partitioned by their token and the bytes after it, at splitters
-   sampled from them.
-4. Each bucket sorts the windows of its stretches by multikey quicksort, eight bytes a character, and
-   compares neighbours.
-5. Families of a token that stands at either end of a bucket may have equals in the next bucket: digests of
-   their windows are counted across buckets. A token that fills many buckets is handled by this step alone.
+3. The remaining stretches are range-partitioned by their suffixes from the token on, at sampled splitters. A splitter
+   is cut short to the token where that parts it from the sample before it, so that only a token that fills a bucket is split.
+4. Each bucket sorts the suffixes of its stretches by multikey quicksort, eight bytes a character, and likewise the
+   reversed bytes before the token. Windows are equal if both sides are: the common prefixes of neighbours say which.
+5. Across a boundary a window can only be equal to another if both share the boundary's bytes from the token to the
+   window's end. One copy of each such window goes on, in stretches, to a second range partition by the bytes before
+   the token; what lies across a boundary there too is decided by digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .cluster import cut_to_table, release
+from .cluster import columns_without, cut_to_table, discard, join_skewed, release
 
 LENGTH = 400
 TOKEN = 100
 BLOCK = 1 << 20
 BUCKET = 1 << 21
+SAMPLES = 16
 
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,52 +72,199 @@ def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
-def multikey_sort(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of data[s:s+length] for each start, and whether each has an equal.
+def multikey_order(words: np.ndarray, sizes: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Rows of words (strings as big-endian numbers of eight bytes, padded with zeros) in lexical order within each group.
 
-    Multikey quicksort taken breadth first: strings still tied are split by their next eight bytes, and a
-    group that has come down to one string is not looked at again.
+    Multikey quicksort taken breadth first: strings still tied are split by their next eight bytes, and one that stands
+    alone is not looked at again. ``sizes`` are the strings' lengths; a prefix of a string comes before it.
     """
-    n = len(starts)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    live = np.arange(n) if n > 1 else np.zeros(0, np.int64)
-    words = np.ndarray(max(0, len(data) - 7), ">u8", data, strides=(1,))
-    for depth in range(0, length, 8):
+    n = len(words)
+    group = np.zeros(n, np.int64) if group is None else group
+    order = np.argsort(group, kind="stable")
+    old = group[order]
+    live = np.arange(n)
+    for depth in range(words.shape[1] + 1):
         if not len(live):
             break
-        word = words[starts[order[live]] + depth].astype(np.uint64)
-        if length - depth < 8:
-            word >>= np.uint64(8 * (8 - length + depth))
-        by = np.lexsort((word, group[live]))
+        word = words[order[live], depth] if depth < words.shape[1] else sizes[order[live]]
+        by = np.lexsort((word, old))
         order[live] = order[live[by]]
-        word, old = word[by], group[live][by]
+        word, old = word[by], old[by]
         new = np.r_[True, (word[1:] != word[:-1]) | (old[1:] != old[:-1])]
-        ids = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
-        group[live] = ids
+        old = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
         alone = new & np.r_[new[1:], True]
-        group[live[alone]] = live[alone]
-        live = live[~alone]
-    tied = np.zeros(n, bool)
-    tied[order[live]] = True
-    return order, tied
-
-
-def _bucket(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of a bucket's stretches that are repeated: stretch, first offset, offset after the last."""
-    sizes = np.fromiter((len(r[1]) - length + 1 for r in rows), np.int64, len(rows))
-    data = np.frombuffer(b"".join(r[1] for r in rows) + bytes(8), np.uint8)
-    bases = np.cumsum(sizes + length - 1) - (sizes + length - 1)
-    starts, owner = arrays.ranges(bases, sizes)
-    _, tied = multikey_sort(data, starts, length)
-    tied |= np.fromiter((r[3] > 1 for r in rows), bool, len(rows))[owner]
-    owner, offset = owner[tied], (starts - bases[owner])[tied]
-    if not len(owner):
-        return owner, offset, offset
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)]
-    return owner[new], offset[new], offset[np.r_[new[1:], True]] + 1
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, token: int = TOKEN) -> DataFrame:
+        live, old = live[~alone], old[~alone]
+    return order
+
+
+def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of x with y's, ``most`` at most."""
+    differ = x != y
+    first = differ.argmax(1) if x.shape[1] else np.zeros(len(x), np.int64)
+    return np.minimum(np.where(differ.any(1), first, x.shape[1]), most)
+
+
+def _matrix(data: np.ndarray, starts: np.ndarray, step: int, sizes: np.ndarray, width: int) -> np.ndarray:
+    """data[s], data[s + step], ... for each start, ``size`` bytes of it, padded with zeros to a multiple of eight."""
+    at = np.arange(-(-width // 8) * 8)
+    inside = at[None] < sizes[:, None]
+    return np.where(inside, data[np.where(inside, starts[:, None] + step * at[None], 0)], 0).astype(np.uint8)
+
+
+def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column, the row at which the run of each row begins, and whether the run is that row alone."""
+    rows = np.arange(len(breaks), dtype=np.int32)[:, None]
+    alone = breaks.copy()
+    alone[:-1] &= breaks[1:]
+    return np.maximum.accumulate(np.where(breaks, rows, 0), axis=0), alone
+
+
+#: place of the token in the stretch, key, digest of the stretch, times it occurs, offset of the piece in the stretch
+Piece = tuple[int, bytes, bytes, int, int]
+
+
+def _key(piece: bytes, place: int, token: int, ahead: bool) -> bytes:
+    """What a piece is sorted by, and is stored as: the bytes from the token on and, in reverse, those before it; or the token first, then those before."""
+    before = piece[:place][::-1]
+    return piece[place:] + before if ahead else piece[place : place + token] + before + piece[place + token :]
+
+
+def _unkeyed(key: bytes, place: int, token: int, ahead: bool) -> bytes:
+    if ahead:
+        return key[len(key) - place :][::-1] + key[: len(key) - place]
+    return key[token : token + place][::-1] + key[:token] + key[token + place :]
+
+
+def compare(rows: list[Piece], low: bytes | None, high: bytes | None, length: int, token: int, ahead: bool) -> tuple[list[tuple], list[tuple]]:
+    """The repeated windows of a bucket, and those to be compared across its boundaries.
+
+    The first are (stretch, first offset, offset after the last); the second (row, smallest and largest bytes before the
+    token), one row for each window or, where windows of the bucket are equal, for one of them.
+    """
+    n, width = len(rows), length - token
+    place = np.fromiter((r[0] for r in rows), np.int64, n)
+    size = np.fromiter((len(r[1]) for r in rows), np.int64, n)
+    data = np.frombuffer(b"".join(_unkeyed(r[1], r[0], token, ahead) for r in rows), np.uint8)
+    starts = np.cumsum(size) - size
+    after = _matrix(data, starts + place, 1, size - place, length)
+    before = _matrix(data, starts + place - 1, -1, place, width)
+
+    by = multikey_order(after.view(">u8").astype(np.uint64), size - place)
+    rows, place, size, after, before = [rows[i] for i in by], place[by], size[by], after[by], before[by]
+    rest = size - place
+    near = np.r_[-1, _common(after[1:], after[:-1], np.minimum(rest[1:], rest[:-1]))]
+    same_token = np.cumsum(near < token)
+    by = multikey_order(before.view(">u8").astype(np.uint64), place, same_token)
+    near_before = np.r_[-1, _common(before[by[1:]], before[by[:-1]], np.minimum(place[by[1:]], place[by[:-1]]))]
+    near_before[np.r_[True, same_token[by[1:]] != same_token[by[:-1]]]] = -1
+
+    # Windows by row and number of bytes before the token; equal ones are in one run on both sides.
+    offsets = np.arange(width + 1)
+    valid = (offsets >= (place - size + length)[:, None]) & (offsets <= place[:, None])
+    run_after, alone = _runs(near[:, None] < length - offsets)
+    sorted_before, alone_before = _runs(near_before[:, None] < offsets)
+    run_before = np.empty_like(sorted_before)
+    run_before[by] = sorted_before
+    alone[by] |= alone_before
+    maybe = np.flatnonzero(valid & ~alone)
+    row, offset = np.divmod(maybe, width + 1)
+    classes = (run_after.ravel()[maybe].astype(np.int64) * n + run_before.ravel()[maybe]) * (width + 1) + offset
+    into = np.argsort(classes, kind="stable")
+    ordered = classes[into]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+    tied, spare = np.zeros((2, *valid.shape), bool)
+    tied.ravel()[maybe[into[~(new & np.r_[new[1:], True])]]] = True
+    spare.ravel()[maybe[into[~new]]] = True  # equal to one that stands for it
+    tied |= valid & (np.fromiter((r[3] for r in rows), np.int64, n) > 1)[:, None]
+
+    edges = np.diff(np.pad(tied.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, lo = np.nonzero(edges == 1)
+    hi = np.nonzero(edges == -1)[1]
+    base = np.fromiter((r[4] for r in rows), np.int64, n)[row] + place[row]
+    hits = [(rows[i][2], a, z) for i, a, z in zip(row.tolist(), (base - hi + 1).tolist(), (base - lo + 1).tolist())]
+
+    far = np.full(n, -1)
+    for edge in (low, high):
+        if edge is not None and len(edge) > token:
+            of = np.full(length + width + 8, -1, np.int16)
+            of[: min(len(edge), len(of))] = np.frombuffer(edge, np.uint8)[: len(of)]
+            own = _common(after, of[None, : after.shape[1]], rest)
+            if not ahead:
+                own = np.where(own >= token, token + _common(before, of[None, token : token + before.shape[1]], place), own)
+            far = np.maximum(far, own)
+    across = valid & ~spare & (far[:, None] >= (length - offsets if ahead else token + offsets))
+    some = np.flatnonzero(across.any(1))
+    least, most = across[some].argmax(1), width - across[some][:, ::-1].argmax(1)
+    pieces = [(rows[i], a, z, np.flatnonzero(across[i]).tolist()) for i, a, z in zip(some.tolist(), least.tolist(), most.tolist())]
+    return hits, pieces
+
+
+def splitters(keys: list[bytes], parts: int, token: int) -> list[bytes]:
+    """At most parts - 1 boundaries from sampled keys. A boundary moves back to the first sample of its token if that is near, and is no longer than parts it from the sample before."""
+    keys = sorted(set(keys))
+    step, out = len(keys) / max(1, parts), set()
+    for i in {int(step * k) for k in range(1, parts)} - {0}:
+        back = i
+        while back and i - back <= step / 2 and keys[back - 1][:token] == keys[i][:token]:
+            back -= 1
+        i = back if back and keys[back - 1][:token] != keys[i][:token] else i
+        common = next((k for k, (x, y) in enumerate(zip(keys[i - 1], keys[i])) if x != y), len(keys[i - 1]))
+        out.add(keys[i][: max(token, common + 1)])
+    return sorted(out)
+
+
+def _compared(pieces: DataFrame, rows: int, length: int, token: int, ahead: bool, bucket: int) -> DataFrame:
+    """Pieces by range of their keys, compared in each bucket: rows with stop are repeated windows, others what lies across boundaries.
+
+    The latter hold a piece for the next round, or, where that is over, digests of windows.
+    """
+    spark = pieces.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    share = min(1.0, SAMPLES * parts / max(1, rows))
+    edges = splitters([bytes(r[0]) for r in pieces.select("key").sample(share, 7).collect()], parts, token)
+
+    def place_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bisect_right(edges, k) for k in b.column(1).to_pylist()], pa.int32())], [*b.schema.names, "bucket"])
+
+    def judge(held: list[Piece], low: bytes | None, high: bytes | None) -> Iterator[pa.RecordBatch]:
+        hits, pieces = compare(held, low, high, length, token, ahead)
+        out = [(s, a, z, None, None, None) for s, a, z in hits]
+        for (place, key, stretch, _, base), least, most, offsets in pieces:
+            whole = _unkeyed(key, place, token, ahead)
+            if ahead:
+                out.append((stretch, base + place - most, None, most, _key(whole[place - most : place + length - least], most, token, False), None))
+            else:
+                out += [(stretch, base + place - o, None, None, None, _digest(whole[place - o : place - o + length])) for o in offsets]
+        for lo in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000]), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["stretch", "start", "stop", "place", "key", "digest"])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Piece] = []
+        size, now, low = 0, -1, None
+        for b in batches:
+            for *r, at in zip(*(c.to_pylist() for c in b.columns)):
+                if held:
+                    parted = held[-1][1][:token] != r[1][:token]
+                    if at != now or size > bucket and parted or size > 2 * bucket:
+                        yield from judge(held, low, edges[now] if at != now else None if parted else r[1])
+                        low = None if parted else r[1]
+                        held, size = [], 0
+                if at != now:
+                    now, low = at, edges[at - 1] if at else None
+                held.append(tuple(r))
+                size += len(r[1])
+        if held:
+            yield from judge(held, low, edges[now] if now < len(edges) else None)
+        arrays.trim()
+
+    fields = "place long, key binary, stretch binary, n long, base long"
+    placed = pieces.select("place", "key", "stretch", "n", "base").mapInArrow(place_in, f"{fields}, bucket int")
+    ordered = placed.repartitionById(max(1, len(edges) + 1), "bucket").sortWithinPartitions("bucket", "key")
+    return cut_to_table(ordered.mapInArrow(sort, "stretch binary, start long, stop long, place long, key binary, digest binary"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, token: int = TOKEN, bucket: int = BUCKET) -> DataFrame:
     """(id, text_key, spans): for each document with repeated strings, byte ranges [start, end) that cover them.
 
     A string of ``length`` UTF-8 bytes is repeated if it also starts anywhere else in the corpus, in the
@@ -150,8 +300,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = cut_to_table(named.mapInArrow(scan, f"id {kind}, text_key binary, first long, last long, token long, stretch binary"))
 
-    shared = found.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
-    found = cut_to_table(found.join(shared, "token", "left_semi").drop("token"))
+    families_found = found.count()
+    uses = cut_to_table(found.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1"))
+    shared = cut_to_table(join_skewed(found, uses.drop("uses"), "token", uses, families_found).drop("token"))
+    discard(found, uses)
+    found = shared
     release(docs.sparkSession)
     kinds = found.groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "id", "first", "last")).alias("at"))
 
@@ -165,7 +318,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["place", "bytes", "stretch", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["place", "key", "stretch", "n", "base"])
 
         seen: set[bytes] = set()
         for b in batches:
@@ -178,7 +331,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for c in cuts:
                     piece = raw[c["first"] : c["last"] + length]
                     place = int(families(np.frombuffer(piece, np.uint8), length, token)[2][0])
-                    out.append((place, piece, c["stretch"], c["n"]))
+                    out.append((place, _key(piece, place, token, True), c["stretch"], c["n"], 0))
                 if len(out) > 5_000:
                     yield send(out)
                     out = []
@@ -187,52 +340,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = named.where(F.octet_length("text") >= length).mapInArrow(keyed, f"id {kind}, text string, text_key binary")
     sources = texts.join(wanted, (texts.text_key == wanted.at_key) & texts.id.eqNullSafe(wanted.at_id)).select("text", "cuts")
-    pieces = cut_to_table(sources.mapInArrow(cut_out, "place long, bytes binary, stretch binary, n long"))
+    pieces = cut_to_table(sources.mapInArrow(cut_out, "place long, key binary, stretch binary, n long, base long"))
     release(docs.sparkSession)
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge: set[bytes] = set()  # tokens that may go on in another bucket, or were cut here for their size
-        held: list[tuple] = []
-        size = 0
-
-        def judge() -> Iterator[pa.RecordBatch]:
-            owner, start, stop = _bucket(held, length)
-            out = [(held[o][2], a, z, None) for o, a, z in zip(owner.tolist(), start.tolist(), stop.tolist())]
-            for r in held:
-                if r[0] in edge:
-                    out += [(r[2], a, a + 1, _digest(r[1][a : a + length])) for a in range(len(r[1]) - length + 1)]
-            for lo in range(0, len(out), 50_000):
-                c = list(zip(*out[lo : lo + 50_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["stretch", "start", "stop", "digest"])
-
-        for b in batches:
-            for place, *rest in zip(*(b.column(k).to_pylist() for k in range(4))):
-                r = (rest[0][place : place + token], *rest)
-                now, before = r[0], held[-1][0] if held else None
-                if not edge:
-                    edge.add(now)
-                if size > BUCKET and now != before or size > 2 * BUCKET:
-                    if now == before:
-                        edge.add(now)
-                    yield from judge()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[1])
-        if held:
-            edge.add(held[-1][0])
-            yield from judge()
-
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ahead = F.substring("bytes", F.col("place").cast("int") + 1, F.lit(length + token))
-    ordered = pieces.repartitionByRange(parts, ahead).sortWithinPartitions(ahead)
-    judged = cut_to_table(ordered.mapInArrow(sort, "stretch binary, start long, stop long, digest binary"))
+    n_pieces = pieces.count()
+    judged = _compared(pieces, n_pieces, length, token, True, bucket)
     release(docs.sparkSession)
-    across = judged.where("digest is not null")
-    common = across.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    decided = judged.where("digest is null").select("stretch", "start", "stop").union(across.join(common, "digest").select("stretch", "start", "stop"))
+    decided = judged.where("stop is not null").select("stretch", "start", "stop")
+    further = judged.where("key is not null")
+    n_further = further.count()
+    if n_further:
+        again = _compared(further.select("place", "key", "stretch", F.lit(1).cast("long").alias("n"), F.col("start").alias("base")), n_further, length, token, False, bucket)
+        across = again.where("digest is not null")
+        common = across.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        met = across.join(common, "digest").select("stretch", "start", (F.col("start") + 1).alias("stop"))
+        decided = decided.union(again.where("stop is not null").select("stretch", "start", "stop")).union(met)
     hits = decided.groupBy("stretch").agg(F.collect_list(F.struct("start", "stop")).alias("hits"))
 
-    each = found.select("id", "text_key", "first", "stretch").join(hits, "stretch")
+    each = join_skewed(found.select("id", "text_key", "first", "stretch"), hits, "stretch", pieces.select("stretch", F.col("n").alias("uses")), families_found)
     spans = F.transform("hits", lambda h: F.struct((F.col("first") + h["start"]).alias("start"), (F.col("first") + h["stop"] - 1 + length).alias("end")))
     return each.groupBy("id", "text_key").agg(F.flatten(F.collect_list(spans)).alias("spans"))
 
@@ -254,12 +379,14 @@ def text_keys(column) -> pa.Array:
     return pa.array([_digest(data[a:z].tobytes()) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, token: int = TOKEN) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, token: int = TOKEN, bucket: int = BUCKET) -> DataFrame:
     """The columns of docs and: n_bytes, spans (removed byte ranges), kept (the other bytes, joined, as binary).
 
     One row for each row of docs. Null text has 0 bytes and nothing to remove. Kept bytes can end inside a character.
+    Columns of docs named like the new ones are replaced.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, token)
+    docs = columns_without(docs, [id_col, text_col], ["n_bytes", "spans", "kept"])
+    spans = repeated_spans(docs, id_col, text_col, length, token, bucket)
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 

@@ -45,18 +45,25 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_suffixes(docs, empty):
-    raw = [(x or "").encode() for _, x, _, _ in ROWS]
-    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
-    want = []
-    for b in raw:
-        gone = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        want.append((len(b), hashlib.sha256(bytes(x for x, y in zip(b, gone) if not y)).hexdigest()))
-    got = suffixes.remove_repeats(docs).collect()
-    assert sorted((r.n_bytes, hashlib.sha256(r.kept).hexdigest()) for r in got) == sorted(want)
+def test_suffixes(spark, docs, empty):
+    words = np.random.default_rng(5)
+    passage = " ".join(words.choice(WORDS, 200))
+    cut = [passage[int(words.integers(0, 300)) : int(words.integers(700, len(passage)))] for _ in range(80)]
+    hot = [" ".join(words.choice(WORDS, 60)) + x + " ".join(words.choice(WORDS, 60)) for x in cut] + ["\0" * 900 + "a" + "\0" * 600, "ab\0" * 200]
+    many = [(i, x, "clash", 1) for i, x in enumerate(hot)]
+    for rows, table, bucket in ((ROWS, docs, suffixes.BUCKET), (many, spark.createDataFrame(many, SCHEMA).withColumnsRenamed({"id": "spans", "n": "kept"}), 4_000)):
+        raw = [(r[1] or "").encode() for r in rows]
+        seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+        want = []
+        for b in raw:
+            gone = bytearray(len(b))
+            for i in range(len(b) - 399):
+                if seen[b[i : i + 400]] > 1:
+                    gone[i : i + 400] = b"\1" * 400
+            runs = sum(g and not h for g, h in zip(gone, b"\0" + gone))
+            want.append((len(b), runs, hashlib.sha256(bytes(x for x, y in zip(b, gone) if not y)).hexdigest()))
+        got = suffixes.remove_repeats(table, bucket=bucket).collect()
+        assert sorted((r.n_bytes, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == sorted(want)
     assert suffixes.remove_repeats(empty).count() == 0
 
 
