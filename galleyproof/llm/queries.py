@@ -35,7 +35,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = resample(docs, fit(docs, table(spark, sf_dir, "labels")))
+    out = resample(docs, fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
     return out.select("doc_id", F.round("log_weight", 9).alias("log_weight"), F.round("gumbel_key", 9).alias("gumbel_key"), "selected")
 
 

@@ -1,6 +1,8 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -170,14 +172,51 @@ def test_nearest_skips_cells(spark):
     assert recall(share=0.01, least=60) < 0.9 < recall(least=60)
 
 
-def test_quality_counts_all_documents(spark):
-    clean, junk = "plain words on a quiet page number {0} of book {0}", "zqx vkw bjh number {0} of book {0}"
-    rows = [(i, clean.format(i * 7919)) for i in range(200)] + [(1_000 + i, junk.format(i * 104729)) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    weights = resampling.fit(docs, labels)
-    kept = {r.doc_id for r in resampling.resample(docs, weights).where("selected").collect()}
-    assert kept == set(range(200))
+def tokens(text):
+    """The n-grams of a text, counted: words, their beginnings, shapes of tokens, a word five times running."""
+    low = [w for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    shape = lambda t: re.sub(r"(.)\1+", lambda m: m[1] if m[1] in "0Aa" else m[0], re.sub(r"[a-z\x80-\U0010ffff]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))))
+    begin = [(n, x.encode()[:n]) for x in low for n in resampling.BEGINNINGS if len(x.encode()) > n]
+    return Counter([("w", x) for x in low] + [("b", x) for x in begin] + [("s", shape(x)) for x in re.split(r"[ \t-\r]+", text or "") if x] + [("r",) for i in range(len(low) - 4) if len(set(low[i : i + 5])) == 1])
+
+
+def test_quality_against_brute_force(spark):
+    r = random.Random(4)
+    words = [f"w{k}" + "beginning" * (k % 7 == 0) for k in range(300)]
+    texts = [" ".join(r.choices(words, k=r.randint(2, 60)) + (["zqx"] * r.randint(1, 2) + ["Vkw!!"] if i % 4 == 0 else [])) for i in range(600)] + [None, "", " \n", "spam " * 9, texts_long := " ".join(r.choices(words, k=40_000)), texts_long]
+    docs = spark.createDataFrame([(i, x, "clash", 1.5) for i, x in enumerate(texts)] + [(7, texts[7], "clash", 1.5)], "doc_id long, text string, selected string, log_weight double")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)] + [(3, None, 0), (5, 1, None), (9_999, 1, 0)], "doc_id long, quality int, toxic int")
+    model = resampling.fit(docs, labels)
+    got = resampling.resample(docs, model, k=200).collect()
+    assert len(got) == len(texts) + 1 and set(got[0].asDict()) == {"doc_id", "text", "log_weight", "gumbel_key", "selected"}
+
+    # The models by hand: copies count once; held-out rows are those that the operator's hash names.
+    out = {x[0] for x in labels.where(f"pmod(xxhash64({resampling.HELD_OUT}, doc_id), {resampling.HELD_OUT}) = 0").collect()}
+    grams, once = [tokens(x) for x in texts], []
+    for i, x in enumerate(texts):
+        if x not in texts[:i] and (len((x or "").split()) > 1 or i == texts.index(" \n")):
+            once.append(i)
+    target, raw = Counter(), Counter()
+    for i in once:
+        raw.update(set(grams[i]))
+        if i < 300 and i % 4 and i not in out:
+            target.update(set(grams[i]))
+    share = sum(i < 300 and i % 4 > 0 and i not in out for i in once) / len(once)
+    ratio = {}
+    for g, n in raw.items():
+        e = n * share
+        evidence = (target[g] * np.log(target[g] / e) if target[g] else 0) - target[g] + e
+        ratio[g] = np.log((target[g] + resampling.PRIOR) / (e + resampling.PRIOR)) / (1 + resampling.ODDS * np.exp(-evidence))
+    want = [sum(ratio.get(g, 0) * (1 + np.log(n)) for g, n in grams[i].items()) for i in range(len(texts))]
+    assert all(abs(row.log_weight - want[row.doc_id]) < 0.05 + 0.05 * abs(want[row.doc_id]) for row in got)  # n-grams can share a bucket
+    assert min(want) < -4 and max(ratio.values()) > 0 > min(ratio.values())
+    last = sorted((row.gumbel_key for row in got), reverse=True)[199]
+    assert all(row.selected == (row.gumbel_key >= last) for row in got)
+    kept = [row.doc_id for row in resampling.resample(docs, model).where("selected").collect()]
+    assert len(set(kept) & {i for i in range(600) if i % 4}) > 400 and len(set(kept) & {i for i in range(0, 600, 4)}) < 8
+    none = spark.createDataFrame([], docs.schema)
+    assert resampling.resample(none, resampling.fit(none, labels)).count() == 0
+    assert resampling.resample(docs, resampling.fit(docs, labels.limit(0))).where("selected").count() == len(texts) + 1
 
 
 def test_urls(spark):
@@ -189,7 +228,7 @@ def test_urls(spark):
 
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
-    weights = resampling.fit(docs, labels.where("doc_id % 2 = 0"))
-    kept = resampling.resample(docs.select("doc_id", "text"), weights).select("doc_id", "selected").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    model = resampling.fit(docs, labels.where("doc_id % 2 = 0"))
+    kept = resampling.resample(docs, model, carry=["doc_id"]).select("doc_id", "selected").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     good = (kept.quality == 1) & (kept.toxic == 0)
     assert kept[good].selected.mean() > 0.95 and kept[kept.toxic == 1].selected.mean() < 0.25 and kept[kept.quality == 0].selected.mean() < 0.1
