@@ -2,7 +2,8 @@
 
 Vectors are cut in two halves, each half quantised by a codebook of its own; a pair of centroids is a cell. A
 query visits cells by the sum of its squared distances to both centroids, from a heap, until they hold
-enough entries, which are then ranked by their exact distances.
+enough entries, which are then ranked by their exact distances. How many are enough is learnt with the codebooks: the share
+of the entries that rows of the sample must read to find the wanted part of their nearest ones, which is small where vectors cluster.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .cluster import cut
 
-CENTROIDS = 64
+CENTROIDS = 128
 SAMPLE_ROWS = 20_000
+SAMPLE_QUERIES = 400
 LLOYD_ROUNDS = 12
-SHARE, LEAST = 0.45, 4_000
+RECALL = 0.95
 BLOCK = 4_096
 
 
@@ -42,6 +44,21 @@ def codebook(x: np.ndarray, size: int) -> np.ndarray:
     return c
 
 
+def share_for(x: np.ndarray, books: list[np.ndarray], k: int, recall: float) -> float:
+    """The share of the entries x, in the order of their cells, that a query must read to find ``recall`` of its k nearest ones."""
+    if recall >= 1 or len(x) <= k + 1:
+        return 1.0
+    half = len(books[0][0])
+    cells = [_squares(part, book).argmin(1) for part, book in zip((x[:, :half], x[:, half:]), books)]
+    places = []
+    for i in np.random.default_rng(11).permutation(len(x))[:SAMPLE_QUERIES]:
+        d = _squares(x[i : i + 1], x)[0]
+        d[i] = np.inf
+        cell = sum(_squares(part[None], book)[0][c] for part, book, c in zip((x[i, :half], x[i, half:]), books, cells))
+        places.append(np.searchsorted(np.sort(cell), cell[np.argpartition(d, k)[:k]], "right") / len(x))
+    return float(np.quantile(np.concatenate(places), recall, method="higher"))
+
+
 def visit(near: list[np.ndarray], counts: np.ndarray, wanted: int) -> np.ndarray:
     """The cells (first, second) that a query visits: by growing sum of distances, until they hold ``wanted`` entries."""
     a, b = (np.argsort(d, kind="stable") for d in near)
@@ -73,23 +90,24 @@ def valid(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.where(F.col(vec_col).isNotNull() & ~bad & F.exists(vec_col, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its k nearest found among all other rows.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. The codebooks are
-    fitted on at most ``sample_rows`` rows, those of smallest id hash; every row is indexed. A query
-    reads the cells nearest to it up to the larger of ``least`` entries and ``share`` of all. The vectors of this data
-    hardly cluster, so that a recall over 0.9 takes a large share; clustered vectors need far less.
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. The codebooks, and the
+    share of entries that a query reads for ``recall`` (1: all, so results are exact), are fitted on at most ``sample_rows`` rows,
+    those of smallest id hash; every row is indexed. In a larger table neighbours are nearer, so the share errs on the safe side.
 
     Null, zero, or not wholly finite vectors, rows with a null id, and vectors of another length than the sample's most common
-    one take no part. Of equal vectors only the k + 1 smallest distinct ids, with k rows of each, can be among the k nearest, so
-    others are left out of the index, which changes no result. Equal ids are entries of their own, but a query passes
-    over all rows with its id; queries with one id give their results once for each. An empty table gives no rows.
+    one (between which there is no distance) take no part. Rows that are equal in id and vector, or in one of them, are entries of their own, and
+    only its own row is kept from a query; queries with one id give a list each. Of equal vectors only k + 1 rows, those of smallest ids, can
+    be among the k nearest, so others are left out of the index, which changes no result. Vectors can be arrays of floats
+    or doubles. An empty table gives no rows; other columns are not read.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     named = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     named = valid(named, "vec")
     sample = [r[0] for r in named.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").collect()]
+    array = vectors.schema[vec_col].dataType.simpleString()
     schema = f"query_id {kind}, rank int, id {kind}, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -103,20 +121,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         for b in batches:
             v = _vectors(b.column(1))
             cells = [_squares(part, book).argmin(1).astype(np.int32) for part, book in zip((v[:, :half], v[:, half:]), books)] if len(v) else [np.zeros(0, np.int32)] * 2
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, cells)], ["id", "vec", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, cells)], ["id", "vec", "key", "c1", "c2"])
 
     copies = Window.partitionBy("__a", "__b").orderBy("id")
     same = Window.partitionBy("__a", "__b", "id").orderBy("id")
     digested = named.withColumns({"__a": F.xxhash64("vec"), "__b": F.xxhash64(F.lit(1), "vec")})
-    entries = digested.withColumn("__n", F.dense_rank().over(copies)).where(F.col("__n") <= k + 1)
-    entries = entries.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k).select("id", "vec")
-    entries = cut(entries.mapInArrow(assign, f"id {kind}, vec array<float>, c1 int, c2 int"))
-    queries = digested.where(F.col("id") % every == 0).withColumn("__n", F.row_number().over(same)).select("id", "vec", F.xxhash64("id", "__a", "__b", "__n").alias("key"))
+    # The n-th of the rows that are equal in id and vector has one key as an entry and as a query.
+    key = F.xxhash64("id", "__a", "__b", "__n").alias("key")
+    entries = digested.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k + 1)
+    entries = entries.withColumn("__n", F.row_number().over(same)).select("id", "vec", key)
+    entries = cut(entries.mapInArrow(assign, f"id {kind}, vec {array}, key long, c1 int, c2 int"))
+    queries = digested.where(F.col("id") % every == 0).withColumn("__n", F.row_number().over(same)).select("id", "vec", key)
     n_queries = queries.count()
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for c1, c2, n in entries.groupBy("c1", "c2").count().collect():  # at most centroids ** 2 rows
         counts[c1, c2] = n
-    wanted = max(least, int(np.ceil(share * counts.sum())))
+    wanted = int(np.ceil(share_for(x, books, k, recall) * counts.sum()))
     blocks = np.maximum(1, -(-counts.sum(1) // BLOCK))
     lanes = max(1, -(-n_queries // BLOCK))
 
@@ -140,15 +160,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), b.column(1).take(pa.array(take, pa.int64())), pa.array(c1s, pa.int32()), pa.array(bs, pa.int32()), pa.array(masks, pa.binary()), b.column(2).take(pa.array(take, pa.int64()))], ["query_id", "query", "c1", "block", "mask", "key"])
 
     block_of = F.element_at(F.array(*(F.lit(int(n)) for n in blocks)), F.col("c1") + 1)
-    cells = entries.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    asked = queries.mapInArrow(probe, f"query_id {kind}, query array<float>, c1 int, block int, mask binary, key long").withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int"))
+    cells = entries.withColumn("block", F.pmod(F.col("key"), block_of).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    asked = queries.mapInArrow(probe, f"query_id {kind}, query {array}, c1 int, block int, mask binary, key long").withColumn("lane", F.pmod(F.shiftright("key", 20), F.lit(lanes)).cast("int"))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, found = left.combine_chunks(), []
         empty = {"query_id": [], "key": [], "id": [], "score": []}
         if q.num_rows and right.num_rows:
             right = right.combine_chunks()
-            e, ids = _vectors(right["vec"].combine_chunks()), right["id"].to_numpy()
+            e, ids, own = _vectors(right["vec"].combine_chunks()), right["id"].to_numpy(), right["key"].to_numpy()
             c2, norms = right["c2"].to_numpy(), (e * e).sum(1)
             qv, qid, masks = _vectors(q["query"].combine_chunks()), q["query_id"].to_numpy(), q["mask"].to_pylist()
             keys = q["key"].to_numpy()
@@ -156,7 +176,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 rough = norms[None] - 2 * qv[lo : lo + 128] @ e.T
                 for i in range(lo, min(lo + 128, len(qv))):
                     mask = np.unpackbits(np.frombuffer(masks[i], np.uint8)).astype(bool)
-                    may = np.flatnonzero(mask[c2] & (ids != qid[i]))
+                    may = np.flatnonzero(mask[c2] & (own != keys[i]))
                     if len(may) > k:
                         r = rough[i - lo, may]
                         may = may[r <= np.partition(r, k - 1)[k - 1] + 1e-6 * (1 + np.abs(r).max())]
