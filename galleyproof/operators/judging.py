@@ -13,17 +13,6 @@ NETWORK = ["timeout", "urlerror", "failed to", "connect", "network", "http 5", "
 TRIPLE_LENGTHS = {"subject": 200, "predicate": 300, "scope": 200, "quote_span": 220}
 MOST_TRIPLES = 8
 
-#: Which verifiers lose what when a check of the set-up fails.
-EFFECTS = {
-    "judge_key": ["citations", "contradiction"],
-    "judge_library": ["citations", "contradiction", "math"],
-    "algebra": ["math"],
-    "formula_parser": ["math"],
-    "doi_service": ["citations"],
-    "preprint_service": ["citations"],
-}
-
-
 def judge_array(body: Column, item: str) -> Column:
     """The outermost JSON list in free text as array<item>; null where there is none or it can't be parsed."""
     return F.from_json(F.regexp_extract(body, r"(?s)\[.*\]", 0), f"array<{item}>")
@@ -84,14 +73,18 @@ def cost(usage: DataFrame, rates: dict[str, tuple[float, float]], warn_above: in
     return sums.select("model", "tokens_in", "tokens_out", ladder.alias("cost"), (F.col("n") > warn_above).alias("warn"))
 
 
-def preflight(checks: DataFrame, by: str) -> DataFrame:
-    """Status of each run of (by, check, ok): ready, or degraded with the failed checks and the verifiers that these affect."""
-    effects = F.lit(None).cast("array<string>")
-    for name, verifiers in EFFECTS.items():
-        effects = F.when(F.col("check") == name, F.array(*map(F.lit, verifiers))).otherwise(effects)
-    failed = F.when(~F.col("ok"), F.col("check"))
-    out = checks.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(failed)), ",").alias("missing"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("ok"), effects))))), ",").alias("affected"))
-    return out.select(by, F.when(F.col("affected") == "", "ready").otherwise("degraded").alias("status"), "missing", "affected")
+def preflight(checks: DataFrame, effects: DataFrame, by: str) -> DataFrame:
+    """Status of each run of (by, check, ok): ready, or degraded with the failed checks, the verifiers they affect and how.
+
+    effects (check, verifier, effect) is a table of the deployment, a row for each verifier that a check bears on; a failed check
+    without one degrades the run all the same. ``impact`` lists verifier:effect.
+    """
+    failed = checks.where("not ok").select(by, "check").distinct().join(effects, "check", "left")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    impact = F.when(F.col("verifier").isNotNull(), F.concat_ws(":", "verifier", "effect"))
+    found = failed.groupBy(by).agg(listed("check").alias("missing"), listed("verifier").alias("affected"), listed(impact).alias("impact"))
+    out = checks.select(by).distinct().join(found, by, "left").na.fill("", ["missing", "affected", "impact"])
+    return out.select(by, F.when(F.col("missing") == "", "ready").otherwise("degraded").alias("status"), "missing", "affected", "impact")
 
 
 def unverifiable_kind(errors: Column) -> Column:

@@ -243,11 +243,6 @@ def unparseable_hits(m):
     return x.equations(m).select("paper_id", "round", "eq", F.array_join(t.unparseable_hits(F.col("body")), "|").alias("hits")).where("hits <> ''")
 
 
-@query(rf"with {EQS} select paper_id, round, eq, body from eqs where eq < 1", "manuscript")
-def equation_cap(m):
-    return v.top_k(x.equations(m), 1, x.KEY, "eq").drop("rank")
-
-
 @query("select paper_id, round, 'calA' as name, 'A' as body from manuscript", "manuscript")
 def macros(m):
     return x.macros(m)

@@ -67,12 +67,20 @@ def cost_estimate(e):
     return jd.cost(e.select(named.alias("model"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("user_id") % 500).alias("tokens_out")), {"view": (3.0, 15.0), "click": (1.0, 5.0)})
 
 
-@query("""with e as (select * from (values (0, 'judge_key', 'citations'), (0, 'judge_key', 'contradiction'), (1, 'judge_library', 'citations'), (1, 'judge_library', 'contradiction'), (1, 'judge_library', 'math'), (2, 'algebra', 'math'), (3, 'formula_parser', 'math'), (4, 'doi_service', 'citations'), (5, 'preprint_service', 'citations')) as e(n, name, verifier)),
-f as (select c_custkey, name, verifier from customer left join e on c_custkey % 5 <> 0 and (c_custkey + n) % 3 = 0)
-select c_custkey, case when count(verifier) = 0 then 'ready' else 'degraded' end as status, coalesce(string_agg(distinct name, ',' order by name), '') as missing, coalesce(string_agg(distinct verifier, ',' order by verifier), '') as affected from f group by c_custkey""", "customer")
-def preflight_rollup(c):
-    checks = F.array(*(F.struct(F.lit(name).alias("check"), ((F.col("c_custkey") % 5 == 0) | ((F.col("c_custkey") + i) % 3 != 0)).alias("ok")) for i, name in enumerate(jd.EFFECTS)))
-    return jd.preflight(c.select("c_custkey", F.inline(checks)), "c_custkey")
+#: Checks of the fixture and what each bears on, from the parts table: every brand is a verifier that some checks affect.
+EFFECT = "select concat('check ', cast(p_size as string)) as chk, p_brand as verifier, min(case when p_partkey % 2 = 0 then 'stops' else 'falls back' end) as effect from part where p_size % 10 < 4 group by p_size, p_brand"
+
+
+@query(f"""with e as ({EFFECT}), c as (select distinct o_custkey % 1000 as run, 'check ' || cast(o_orderkey % 50 as varchar) as chk, o_orderstatus as s from orders),
+f as (select distinct run, c.chk, verifier, effect from c left join e on e.chk = c.chk where s = 'F'),
+g as (select run, string_agg(distinct chk, ',' order by chk) as missing, coalesce(string_agg(distinct verifier, ',' order by verifier), '') as affected, coalesce(string_agg(distinct verifier || ':' || effect, ',' order by verifier || ':' || effect), '') as impact from f group by run)
+select r.run, case when g.run is null then 'ready' else 'degraded' end as status, coalesce(missing, '') as missing, coalesce(affected, '') as affected, coalesce(impact, '') as impact from (select distinct run from c) r left join g using (run)""", "orders part")
+def preflight_rollup(o, p):
+    check = F.concat(F.lit("check "), (F.col("o_orderkey") % 50).cast("string"))
+    checks = o.select((F.col("o_custkey") % 1000).alias("run"), check.alias("check"), (F.col("o_orderstatus") != "F").alias("ok"))
+    effect = F.min(F.when(F.col("p_partkey") % 2 == 0, "stops").otherwise("falls back"))
+    effects = p.where("p_size % 10 < 4").groupBy(F.concat(F.lit("check "), F.col("p_size").cast("string")).alias("check"), F.col("p_brand").alias("verifier")).agg(effect.alias("effect"))
+    return jd.preflight(checks, effects, "run")
 
 
 ERROR = "case event_id % 6 when 0 then 'URLError: timed out' when 1 then 'HTTP 503' when 2 then 'HTTP 404 not found' when 3 then 'Failed to connect' when 4 then 'no hit' end"
@@ -121,14 +129,6 @@ def math_severity(tg):
     return tg.where("verifier_id = 'math'").select("round", "seq", jd.math_severity(F.col("status"), F.col("kind")).alias("severity"))
 
 
-TOOL = "case when status = 'verified' then case when seq % 2 = 0 then 'algebra' else 'algebra_with_macros' end when coalesce(kind, 'evidence') = 'evidence' then 'judge_fallback' else 'none' end"
-
-
-@query(f"select round, {TOOL} as tool, count(*) as n from target where verifier_id = 'math' group by all", "target")
-def tools_used(tg):
-    return tg.where("verifier_id = 'math'").groupBy("round", F.expr(TOOL).alias("tool")).agg(F.count("*").alias("n"))
-
-
 @query("""with want as (select event_type, 't' || cast(event_id as varchar) || ':' || k.kind as task_id from events cross join (values ('primary'), ('devils_advocate')) as k(kind)),
 have as (select distinct task_id from judge_result )
 select event_type, count(*) as n_expected, count(h.task_id) as n_arrived, case when count(h.task_id) < count(*) then 'pending' else 'done' end as phase from want w left join have h using (task_id) group by event_type""", "events judge_result")

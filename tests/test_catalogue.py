@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galleyproof.functions import text as t
-from galleyproof.plans import catalogue, workflow
+from galleyproof.plans import catalogue, math, workflow
 from galleyproof.sources.rendered import TABLES, view
 
 DATA = "/root/testdata/sf0.001"
@@ -20,7 +20,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", [*CHECKED, *workflow.Q])
+@pytest.mark.parametrize("name", [*CHECKED, *workflow.Q, *math.Q])
 def test_same_rows_as_sql(spark, db, name):
     got, want = catalogue.Q[name](spark, DATA), db.execute(catalogue.SQL[name])
     names = [d[0] for d in want.description]
