@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns that decide what counts as a claim, a marker or a heading.
+# Patterns that decide what counts as a claim, a marker or a heading. Restrictions match whatever their capitals
+# (text is lowered first, and so are the patterns), and a percentage may have an escaped sign: both as documented, not as found.
 CITE = r"\\(?:cite|citet|citep|citeauthor|citeyear|citealt|citealp|citenum|parencite|textcite)(?:\[[^\]]{0,200}\])?(?:\[[^\]]{0,200}\])?\{([^{}]{0,400})\}"
 HEADING = r"\\(?:chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{([^{}]{1,400})\}"
 NUMERIC = {
@@ -52,16 +54,25 @@ def _replace(c: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[0], r[1]), rules, c)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row, however often they are read: the optimiser doesn't copy expressions across a generator, nor push filters below it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def found(c: Column, pattern: str, group: int = 0) -> Column:
     """All matches of the pattern."""
     return F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(group))
 
 
+#: Runs of blanks become one; a single blank isn't matched, which most are.
+_BLANKS = (r"[ \t]{2,}|\t", " ")
+
+
 def soft_clean(tex: Column) -> Column:
     """Comments, references and style commands gone, inline formulas as MATH; citations stay."""
     return _replace(
         tex, (r"(?<!\\)%[^\n]*", ""), (r"\\(?:label|ref|eqref|hyperref|url|href)\{[^{}]{0,400}\}", " "),
-        (r"\\(?:textit|textbf|texttt|textsf|textrm|textsc|emph|mathrm|mathbf|mathit)\{([^{}]{0,400})\}", "$1"), (r"\$[^$]+\$", " MATH "), (r"\\\\", " "), (r"[ \t]+", " "),
+        (r"\\(?:textit|textbf|texttt|textsf|textrm|textsc|emph|mathrm|mathbf|mathit)\{([^{}]{0,400})\}", "$1"), (r"\$[^$]+\$", " MATH "), (r"\\\\", " "), _BLANKS,
     )
 
 
@@ -69,7 +80,7 @@ def section_clean(body: Column) -> Column:
     """A section's text for marker search; citations go too. An escaped percent sign is no comment."""
     return F.trim(_replace(
         body, (r"(?<!\\)%[^\n]*", ""), (r"\\(?:cite|ref|eqref|label|citep|citet)\{[^}]*\}", " "),
-        (r"\\(?:text(?:it|bf|tt|sf|rm|sc)|emph|mathrm|mathbf|mathit)\{([^}]*)\}", " $1 "), (r"\\\\", " "), (r"[ \t]+", " "),
+        (r"\\(?:text(?:it|bf|tt|sf|rm|sc)|emph|mathrm|mathbf|mathit)\{([^}]*)\}", " $1 "), (r"\\\\", " "), _BLANKS,
     ))
 
 
@@ -78,13 +89,13 @@ def strip_comments(tex: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(_replace(F.coalesce(c, F.lit("")), (r"\s+", " ")))
+    return F.trim(_replace(F.coalesce(c, F.lit("")), (r"\s{2,}|[^\S ]", " ")))
 
 
 def sentences(text: Column) -> Column:
     """Array of sentences: breaks after . ! ? before a capital or a command."""
-    parts = F.split(collapse(text), r"(?<=[.!?])\s+(?=[A-Z\\])")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.split(collapse(text), r" (?<=[.!?] )(?=[A-Z\\])")  # blanks are single by now
+    return F.filter(parts, lambda s: s != "")
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -145,6 +156,7 @@ def quantifiers_in(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found(c, f"(?i)(?:{QUANTIFIER})"), F.lower)))
 
 
+# The words of headings, in the order in which they are tried.
 def heading_hint(h: Column) -> Column:
     low = F.lower(h)
     return (
@@ -161,10 +173,16 @@ def heading_key(h: Column) -> Column:
     )
 
 
+def any_of(patterns: list[str], flags: str = "U") -> str:
+    """One pattern that matches where any does; the word boundary that all begin with is looked for once a place."""
+    return rf"(?{flags})\b(?:" + "|".join(p.removeprefix(r"\b") for p in patterns) + ")"
+
+
 def markers(text: Column, patterns: list[str]) -> Column:
-    """Sorted distinct matches in the lowered text."""
+    """Sorted distinct matches in the lowered text; one scan tells texts without any."""
     low = F.lower(text)
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*(found(low, p) for p in patterns)))))
+    hits = F.array_sort(F.array_distinct(F.flatten(F.array(*(found(low, p) for p in patterns)))))
+    return F.when(low.rlike(any_of(patterns)), hits).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(c: Column) -> Column:
@@ -184,12 +202,10 @@ def ngrams(c: Column, n: int = 4) -> Column:
 
 
 def with_overlap(df: DataFrame, a: Column, b: Column, n: int = 4) -> DataFrame:
-    """df with the Jaccard similarity of two texts' n-grams, rounded to three places; 0 where a side is empty.
-
-    Texts and n-grams are columns of their own on the way, or each n-gram would work them out again.
-    """
-    df = df.withColumns({"__a": a, "__b": b}).withColumns({"__x": ngrams(F.col("__a"), n), "__y": ngrams(F.col("__b"), n)})
-    df = df.withColumn("__common", F.size(F.array_intersect("__x", "__y")))
+    """df with the Jaccard similarity of two texts' n-grams, rounded to three places, 0 where a side is empty, and whether the texts are the same."""
+    df = once(df, __a=a, __b=b)
+    df = once(df, same=F.col("__a") == F.col("__b"), __x=ngrams(F.col("__a"), n), __y=ngrams(F.col("__b"), n))
+    df = once(df, __common=F.size(F.array_intersect("__x", "__y")))
     total = F.size("__x") + F.size("__y") - F.col("__common")
     return df.withColumn("overlap", F.when(total > 0, F.round(F.col("__common") / total, 3)).otherwise(F.lit(0.0))).drop("__a", "__b", "__x", "__y", "__common")
 
@@ -202,6 +218,13 @@ def is_definition(body: Column) -> Column:
     return F.contains(body, F.lit(":=")) | F.contains(body, F.lit(r"\equiv")) | F.contains(body, F.lit(r"\coloneqq"))
 
 
+def places(text: Column, mark: str) -> Column:
+    """Places (from 0) at which a fixed mark begins."""
+    before = F.split(text, re.escape(mark), -1)
+    steps = F.transform(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0))), lambda x: F.length(x) + len(mark))
+    return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(-len(mark)), lambda n, x: n + x))
+
+
 def judge_object(body: Column, field: str) -> Column:
     """A field of the first JSON object in free text; null where there is none."""
     return F.get_json_object(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit("")), f"$.{field}")

@@ -11,16 +11,30 @@ KEY = ["paper_id", "round"]
 ABSTRACT = r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}"
 
 
+def _headed(manuscript: DataFrame) -> DataFrame:
+    """manuscript with its headings and the text before, between and after them."""
+    return t.once(manuscript, names=t.found(F.col("tex"), t.HEADING, 1), heads=t.found(F.col("tex"), t.HEADING, 0), bodies=F.split("tex", t.HEADING, -1))
+
+
 def section_index(manuscript: DataFrame) -> DataFrame:
     """(paper_id, round, seq, heading, hint, key, body): the abstract (seq 0) and the text under each heading."""
-    names, bodies = t.found(F.col("tex"), t.HEADING, 1), F.split("tex", t.HEADING, -1)
-    first = F.element_at(bodies, 1)
+    first = F.element_at("bodies", 1)
     abstract = F.when(F.col("tex").rlike(ABSTRACT), F.regexp_extract("tex", ABSTRACT, 1)).otherwise(first)
     parts = F.concat(
         F.array(F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("heading"), F.lit("abstract").alias("hint"), F.lit("abstract").alias("key"), abstract.alias("body"))),
-        F.transform(names, lambda h, i: F.struct((i + 1).alias("seq"), h.alias("heading"), t.heading_hint(h).alias("hint"), t.heading_key(h).alias("key"), F.get(bodies, i + 1).alias("body"))),
+        F.transform("names", lambda h, i: F.struct((i + 1).alias("seq"), h.alias("heading"), t.heading_hint(h).alias("hint"), t.heading_key(h).alias("key"), F.get("bodies", i + 1).alias("body"))),
     )
-    return manuscript.select(*KEY, F.inline(parts))
+    return _headed(manuscript).select(*KEY, F.inline(parts))
+
+
+def section_hints(positions: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """positions (by, pos) with the hint of the smallest span (by, start, stop, hint) around each, the earliest of equal ones; null outside of all.
+
+    Rows meet by key, so a position is compared with the spans of its own text only, and each is then worth a minimum.
+    """
+    inside = positions.distinct().join(spans, by, "left").withColumn("hit", F.when((F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("stop")), F.struct((F.col("stop") - F.col("start")).alias("size"), "start", "hint")))
+    best = inside.groupBy(*by, "pos").agg(F.min("hit")["hint"].alias("hint"))
+    return positions.join(best, [*by, "pos"], "left")
 
 
 def sentences(manuscript: DataFrame) -> DataFrame:
@@ -28,90 +42,101 @@ def sentences(manuscript: DataFrame) -> DataFrame:
     return section_index(manuscript).select(*KEY, "seq", "hint", F.posexplode(t.sentences(t.soft_clean(F.col("body")))).alias("n", "sentence"))
 
 
-def citation_claims(manuscript: DataFrame, bib: DataFrame) -> DataFrame:
-    """One row for each cited key, with its bibliography entry where there is one; occurrence numbers equal locators."""
-    rows = sentences(manuscript).select("*", F.explode(t.found(F.col("sentence"), t.CITE, 1)).alias("keys")).select("*", F.posexplode(F.split("keys", ",")).alias("pos", "raw")).withColumn("cite_key", F.trim("raw")).where("cite_key <> ''")
-    order = Window.partitionBy(*KEY, "cite_key").orderBy("seq", "n", "pos", "sentence")
-    return rows.withColumn("occurrence", F.row_number().over(order)).join(bib, "cite_key", "left").select(
-        *KEY, F.concat(F.lit("cite:"), "cite_key").alias("locator"), "occurrence", "hint", "cite_key", t.truncate(F.col("sentence"), 400).alias("claim_quote"), "doi", "title", "year")
+TYPES = ("citation", "numerical", "scope")
 
 
-def _kinds() -> Column:
-    def of(i: int, kind: str, pattern: str) -> Column:
-        return F.transform(t.found(F.col("sentence"), pattern), lambda v: F.struct(F.lit(i).alias("kind_no"), F.lit(kind).alias("kind"), v.alias("value")))
+def _made(kind: str) -> Column:
+    """Claims of one type in a sentence, as structs."""
+    one = lambda kind_, value: F.struct(F.lit(kind).alias("type"), kind_.alias("kind"), value.alias("value"))
+    none = F.array().cast("array<struct<type:string,kind:string,value:string>>")
+    sentence = F.col("sentence")
+    if kind == "citation":
+        keys = F.flatten(F.transform(t.found(sentence, t.CITE, 1), lambda k: F.split(k, ",")))
+        rows = F.transform(F.filter(F.transform(keys, lambda k: F.trim(k)), lambda k: k != ""), lambda k: one(F.lit(None).cast("string"), k))
+        return F.when(F.contains(sentence, F.lit("\\")), rows).otherwise(none)
+    if kind == "numerical":
+        of = lambda name, pattern: F.transform(t.found(sentence, pattern), lambda v: one(F.lit(name), F.trim(v)))
+        rows = F.concat(*(of(name, pattern) for name, pattern in t.NUMERIC.items()))
+        return F.when(sentence.rlike(r"(?U)\d"), rows).otherwise(none)
+    phrase = F.coalesce(*(F.get(t.found(sentence, "(?i)" + p), F.lit(0)) for p in t.SCOPE))
+    return F.when(sentence.rlike(t.any_of(t.SCOPE, "Ui")), F.array(one(F.lit(None).cast("string"), phrase))).otherwise(none)
 
-    return F.concat(*(of(i, k, p) for i, (k, p) in enumerate(t.NUMERIC.items())))
+
+def claims(manuscript: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """(paper_id, round, type, number, occurrence, kind, value, hint, sentence): all claims of some types, from one pass over the sentences.
+
+    A value with its sentence's start (60 characters) is claimed once, as is a sentence's start (160) with a scope phrase, capitals apart;
+    each mention of a cited key is a claim, its occurrence. Claims are numbered by type in the order of the text. All steps
+    work within a manuscript, so rows are dealt out once.
+    """
+    rows = sentences(manuscript).select("*", F.posexplode(F.concat(*(_made(x) for x in types))).alias("pos", "c")).select(*KEY, "seq", "n", "pos", "hint", "sentence", "c.*")
+    same = F.when(F.col("type") == "citation", F.struct(F.col("value").alias("a"), F.lit("").alias("b"))).when(F.col("type") == "numerical", F.struct(F.lower("value").alias("a"), F.lower(F.substring("sentence", 1, 60)).alias("b"))).otherwise(F.struct(F.lit("").alias("a"), F.lower(F.substring("sentence", 1, 160)).alias("b")))
+    rows = rows.withColumn("same", same).repartition(*KEY)
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*KEY, "type", "same").orderBy("seq", "n", "pos"))).where("type = 'citation' or occurrence = 1")
+    number = F.row_number().over(Window.partitionBy(*KEY, "type").orderBy("seq", "n", "pos")) - 1
+    return rows.select(*KEY, "type", number.alias("number"), "occurrence", "kind", "value", "hint", "sentence")
+
+
+def citation_claims(manuscript: DataFrame, bib: DataFrame) -> DataFrame:
+    """One row for each cited key, with its bibliography entry where there is one; occurrence numbers equal locators."""
+    rows = claims(manuscript, ("citation",)).withColumnRenamed("value", "cite_key").join(bib, "cite_key", "left")
+    return rows.select(*KEY, F.concat(F.lit("cite:"), "cite_key").alias("locator"), "occurrence", "hint", "cite_key", t.truncate(F.col("sentence"), 400).alias("claim_quote"), "doi", "title", "year")
 
 
 def numerical_claims(manuscript: DataFrame) -> DataFrame:
-    """Numbers claimed, by kind; one for each value and sentence start (60 characters), numbered in each paper."""
-    rows = sentences(manuscript).select("*", F.posexplode(_kinds()).alias("pos", "m")).select(*KEY, "seq", "n", "pos", "hint", "sentence", "m.*")
-    same = Window.partitionBy(*KEY, "value", F.substring("sentence", 1, 60)).orderBy("kind_no", "seq", "n", "pos")
-    order = Window.partitionBy(*KEY).orderBy("kind_no", "seq", "n", "pos")
-    rows = rows.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    return rows.select(*KEY, F.concat(F.lit("numclaim:"), F.row_number().over(order) - 1).alias("locator"), "kind", "value", "hint", t.truncate(F.col("sentence"), 400).alias("claim_quote"))
+    """Numbers claimed, by kind, numbered in each paper."""
+    return claims(manuscript, ("numerical",)).select(*KEY, F.concat(F.lit("numclaim:"), "number").alias("locator"), "kind", "value", "hint", t.truncate(F.col("sentence"), 400).alias("claim_quote"))
 
 
 def scope_claims(manuscript: DataFrame) -> DataFrame:
-    """Sentences with a scope phrase, the first pattern that matches; one for each start (160 characters, lowered)."""
-    phrase = F.coalesce(*(F.nullif(F.regexp_extract("sentence", "(?Ui)" + p, 0), F.lit("")) for p in t.SCOPE))
-    rows = sentences(manuscript).withColumn("phrase", phrase).where("phrase is not null")
-    same = Window.partitionBy(*KEY, F.lower(F.substring("sentence", 1, 160))).orderBy("seq", "n")
-    order = Window.partitionBy(*KEY).orderBy("seq", "n")
-    rows = rows.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    return rows.select(*KEY, F.concat(F.lit("scope:"), F.row_number().over(order) - 1).alias("locator"), F.col("phrase").alias("quantifier_phrase"), "hint", t.truncate(F.col("sentence"), 400).alias("claim_quote"))
+    """Sentences with a scope phrase, the first pattern that matches."""
+    return claims(manuscript, ("scope",)).select(*KEY, F.concat(F.lit("scope:"), "number").alias("locator"), F.col("value").alias("quantifier_phrase"), "hint", t.truncate(F.col("sentence"), 400).alias("claim_quote"))
 
 
 def parse_sections(manuscript: DataFrame) -> DataFrame:
     """(paper_id, round, abstract, introduction, methods, results, conclusion): first non-empty text under each key.
 
-    Without a methods heading, the text between the abstract and the first results or conclusion heading stands in where it has over 200 characters.
+    Without an abstract, the text before the first heading and after the title stands in, 3,000 characters of it. Without a methods
+    heading, the text between the abstract (or title) and the first results or conclusion heading does where it has over 200 characters.
+    A manuscript is one row throughout: nothing is shuffled.
     """
-    index = section_index(manuscript).withColumn("clean", t.section_clean(F.col("body")))
-    names = ["abstract", "introduction", "methods", "results", "conclusion"]
-    first = [F.coalesce(F.min_by("clean", F.when((F.col("key") == k) & (F.col("clean") != ""), F.col("seq"))), F.lit("")).alias(k) for k in names]
-    stop = t.HEADING.replace("([^{}]{1,400})", r"[^{}]*(?i:result|experiment|evaluation|analysis|finding|conclusion|discussion|summary|outlook)[^{}]*")
-    span = F.regexp_extract("tex", rf"(?s)(?:\\end\{{abstract\}}|\\maketitle)(.*?){stop}", 1)
-    out = index.groupBy(*KEY).agg(*first).join(manuscript.select(*KEY, F.when(F.length(span) > 200, t.section_clean(span)).alias("span")), KEY)
-    return out.select(*KEY, "abstract", "introduction", F.when(F.col("methods") != "", F.col("methods")).otherwise(F.coalesce("span", F.lit(""))).alias("methods"), "results", "conclusion")
-
-
-def scan_markers(sections: DataFrame) -> DataFrame:
-    """sections with universal and restriction markers of abstract, introduction and methods."""
-    out = sections
-    for part in ("abstract", "introduction", "methods"):
-        out = out.withColumns({f"{part}_universal": t.markers(F.col(part), t.UNIVERSAL), f"{part}_restriction": t.markers(F.col(part), t.RESTRICTION)})
-    return out
-
-
-def equations(manuscript: DataFrame) -> DataFrame:
-    """(paper_id, round, eq, body): displayed equations in the order of the text, by $$ and the equation environment."""
-    form = r"(?s)(?<!\\)\$\$(.*?)(?<!\\)\$\$|\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}"
-    whole = t.found(t.strip_comments(F.col("tex")), form, 0)
-    rows = manuscript.select(*KEY, F.posexplode(whole).alias("eq", "raw"))
-    return rows.select(*KEY, "eq", F.trim(F.regexp_replace("raw", r"(?s)^(?:\$\$|\\begin\{equation\*?\})|(?:\$\$|\\end\{equation\*?\})$", "")).alias("body"))
+    rows = t.once(_headed(manuscript), keys=F.transform("names", t.heading_key), cleaned=F.transform("bodies", t.section_clean))
+    under = lambda k: F.filter(F.arrays_zip("keys", F.slice("cleaned", 2, F.size("names") + 1).alias("body")), lambda p: (p["keys"] == k) & (p["body"] != ""))
+    first = lambda k: F.coalesce(F.get(under(k), F.lit(0))["body"], F.lit(""))
+    untitled = F.regexp_replace(F.element_at("bodies", 1), r"(?s)^.*\\maketitle", "")
+    given = t.section_clean(F.regexp_extract("tex", ABSTRACT, 1))
+    stop = F.array_position(F.transform("keys", lambda k: F.coalesce(k.isin("results", "conclusion"), F.lit(False))), True)
+    before = F.array_join(F.transform(F.sequence(F.lit(1), stop), lambda i: F.concat(F.element_at("bodies", i.cast("int")), F.when(i < stop, F.element_at("heads", i.cast("int"))).otherwise(""))), "")
+    rows = t.once(rows, given=given, found_methods=first("methods"), before=F.when(stop > 0, before))
+    span = F.when(F.contains("before", F.lit(r"\end{abstract}")), F.regexp_replace("before", r"(?s)^.*?\\end\{abstract\}", "")).otherwise(F.regexp_replace("before", r"(?s)^.*?\\maketitle", ""))
+    abstract = F.when(F.col("given") != "", F.col("given")).when(F.size("names") > 0, F.substring(t.section_clean(untitled), 1, 3000)).otherwise("")
+    methods = F.when(F.col("found_methods") != "", F.col("found_methods")).when(F.length(span) > 200, t.section_clean(span)).otherwise("")
+    return t.once(rows, abstract=abstract, introduction=first("introduction"), methods=methods, results=first("results"), conclusion=first("conclusion")).select(*KEY, "abstract", "introduction", "methods", "results", "conclusion")
 
 
-def equality_pairs(eqs: DataFrame) -> DataFrame:
-    """(.., pair, lhs, rhs): neighbours in chains of equalities; definitions make none."""
-    parts = F.transform(F.split(F.regexp_replace("body", r"\\(?:label|tag)\{[^{}]*\}|&", ""), r"(?<![:=])=(?!=)"), lambda s: F.trim(s))
-    pairs = F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("lhs"), b.alias("rhs")))
-    return eqs.where(~t.is_definition(F.col("body"))).select(*KEY, "eq", F.posexplode(pairs).alias("pair", "p")).select(*KEY, "eq", "pair", "p.lhs", "p.rhs")
+MARKS = tuple(f"{part}_{kind}" for part in ("abstract", "introduction", "methods") for kind in ("universal", "restriction"))
 
 
-def macros(manuscript: DataFrame) -> DataFrame:
-    """(paper_id, round, name, body): macros without arguments and braces in their bodies; the last definition wins."""
-    form = r"\\(?:re|provide)?newcommand\*?\{\\([A-Za-z]+)\}\{([^{}]*)\}"
-    pairs = F.arrays_zip(t.found(F.col("tex"), form, 1).alias("name"), t.found(F.col("tex"), form, 2).alias("body"))
-    rows = manuscript.select(*KEY, F.posexplode(pairs).alias("pos", "m")).select(*KEY, "pos", F.col("m.name").alias("name"), F.col("m.body").alias("body"))
-    return rows.groupBy(*KEY, "name").agg(F.max_by("body", "pos").alias("body"))
+def scan_markers(sections: DataFrame, marks: tuple[str, ...] = MARKS) -> DataFrame:
+    """sections with universal and restriction markers of abstract, introduction and methods, or some of these."""
+    kinds = {"universal": t.UNIVERSAL, "restriction": t.RESTRICTION}
+    return t.once(sections, **{m: t.markers(F.col(m.split("_")[0]), kinds[m.split("_")[1]]) for m in marks})
 
 
 def claims_by_section(manuscript: DataFrame, bib: DataFrame) -> DataFrame:
-    """Counts of all claims by section hint, type and kind."""
-    parts = [
-        citation_claims(manuscript, bib).select("hint", F.lit("citation").alias("claim_type"), F.when(F.col("title").isNotNull(), "known").otherwise("unknown").alias("kind")),
-        numerical_claims(manuscript).select("hint", F.lit("numerical").alias("claim_type"), "kind"),
-        scope_claims(manuscript).select("hint", F.lit("scope").alias("claim_type"), F.lower("quantifier_phrase").alias("kind")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("hint", "claim_type", "kind").agg(F.count("*").alias("n_claims"))
+    """Counts of all claims by section hint, type and kind: of scope claims the phrase, of citations whether the bibliography has them."""
+    kind = F.when(F.col("type") == "numerical", F.col("kind")).otherwise(F.lower("value"))
+    counts = claims(manuscript).select("hint", F.col("type").alias("claim_type"), F.when(F.col("type") == "citation", F.col("value")).otherwise(kind).alias("kind")).groupBy("hint", "claim_type", "kind").agg(F.count("*").alias("n"))
+    # What is joined is counted before, a row for each key and hint.
+    known = counts.join(bib.select(F.col("cite_key").alias("kind"), F.lit("citation").alias("claim_type"), F.col("title").isNotNull().alias("known")), ["kind", "claim_type"], "left")
+    named = F.when(F.col("claim_type") == "citation", F.when(F.col("known"), "known").otherwise("unknown")).otherwise(F.col("kind"))
+    return known.groupBy("hint", "claim_type", named.alias("kind")).agg(F.sum("n").alias("n_claims"))
+
+
+def extract_summary(manuscript: DataFrame, samples: int = 2) -> DataFrame:
+    """(paper_id, round, n_citation, n_numerical, n_scope, sample): claims of each paper by type, and the first few locators of each."""
+    rows = claims(manuscript)
+    locator = F.when(F.col("type") == "citation", F.concat(F.lit("cite:"), "value")).when(F.col("type") == "numerical", F.concat(F.lit("numclaim:"), "number")).otherwise(F.concat(F.lit("scope:"), "number"))
+    first = F.when(F.col("number") < samples, F.struct("type", "number", locator.alias("locator")))
+    counts = [F.count_if(F.col("type") == x).alias(f"n_{x}") for x in TYPES]
+    return rows.groupBy(*KEY).agg(*counts, F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["locator"]), "|").alias("sample"))

@@ -50,6 +50,15 @@ def equations(manuscript: DataFrame) -> DataFrame:
     return _each(manuscript, "eq int, start int, row int, body string", lambda _, tex: [(n, start, row, body.strip()) for n, (start, row, _, body) in enumerate(latex.equations(tex))])
 
 
+def equality_pairs(manuscript: DataFrame) -> DataFrame:
+    """(paper_id, round, eq, pair, lhs, rhs): neighbours in chains of equalities, as written; definitions make none."""
+    def make(_: tuple, tex: str) -> list[tuple]:
+        bodies = [(n, body) for n, (*_, body) in enumerate(latex.equations(tex)) if not any(sign in body for sign in DEFINITIONS)]
+        return [(n, pair, *sides) for n, body in bodies for pair, sides in enumerate(latex.equalities(body))]
+
+    return _each(manuscript, "eq int, pair int, lhs string, rhs string", make)
+
+
 def macros(manuscript: DataFrame) -> DataFrame:
     """(paper_id, round, name, arity, body): macros that a manuscript defines; the last definition wins."""
     return _each(manuscript, "name string, arity int, body string", lambda _, tex: [(name, n, body) for name, (n, body) in latex.macros(tex).items()])

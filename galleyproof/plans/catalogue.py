@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import extract as x
+from ..operators import formulas as fm
 from ..operators import regression as g
 from ..operators import resolve as r
+from ..operators import scope as sc
 from ..operators import verdicts as v
 from ..sources.rendered import view, with_views
 
@@ -140,21 +142,24 @@ def heading_key(m):
     return x.section_index(m).groupBy(F.coalesce("key", F.lit("none")).alias("key")).agg(F.count("*").alias("n"))
 
 
-CITES = rf"""{SENT}, cites as (select *, unnest(regexp_extract_all(sentence, '{t.CITE}', 1)) as keys from sent), one as (select * exclude (keys), trim(unnest(string_split(keys, ','))) as cite_key from cites),
-claims as (select o.*, b.doi, b.title, b.year from one o left join bib b using (cite_key) where cite_key <> '')"""
+CITES = rf"""{SENT}, groups as (select *, regexp_extract_all(sentence, '{t.CITE}', 1) as g from sent), cites as (select * exclude (g), string_split(unnest(g), ',') as keys, generate_subscripts(g, 1) as p1 from groups),
+one as (select * exclude (keys), trim(unnest(keys)) as cite_key, generate_subscripts(keys, 1) as p2 from cites),
+claims as (select o.*, b.doi, b.title, b.year, row_number() over (partition by paper_id, round, o.cite_key order by seq, n, p1, p2) as occurrence, row_number() over (partition by paper_id, round order by seq, n, p1, p2) - 1 as number from one o left join bib b using (cite_key) where o.cite_key <> '')"""
 
 
-@query(f"with {CITES} select paper_id, round, hint, cite_key, 'cite:' || cite_key as locator, {QUOTE} as claim_quote, doi, title, year from claims", "manuscript bib")
+@query(f"with {CITES} select paper_id, round, hint, cite_key, 'cite:' || cite_key as locator, occurrence, {QUOTE} as claim_quote, doi, title, year from claims", "manuscript bib")
 def citation_claims(m, b):
-    return x.citation_claims(m, b).drop("occurrence")
+    return x.citation_claims(m, b)
 
 
-NUMS = SENT + ", nums as (" + " union all ".join(f"select paper_id, round, hint, seq, n, sentence, '{k}' as kind, {i} as kind_no, unnest(regexp_extract_all(sentence, '{p}')) as value from sent" for i, (k, p) in enumerate(t.NUMERIC.items())) + "), kept as (select distinct on (paper_id, round, value, substr(sentence, 1, 60)) * from nums order by kind_no, seq, n)"
+NUMS = SENT + ", found as (" + " union all ".join(f"select paper_id, round, hint, seq, n, sentence, '{k}' as kind, {i} as kind_no, regexp_extract_all(sentence, '{p}') as vs from sent" for i, (k, p) in enumerate(t.NUMERIC.items())) + """),
+nums as (select * exclude (vs), trim(unnest(vs)) as value, generate_subscripts(vs, 1) as p from found), firsts as (select distinct on (paper_id, round, lower(value), lower(substr(sentence, 1, 60))) * from nums order by seq, n, kind_no, p),
+kept as (select *, row_number() over (partition by paper_id, round order by seq, n, kind_no, p) - 1 as number from firsts)"""
 
 
-@query(f"with {NUMS} select paper_id, round, kind, value, hint, {QUOTE} as claim_quote from kept", "manuscript")
+@query(f"with {NUMS} select paper_id, round, 'numclaim:' || number as locator, kind, value, hint, {QUOTE} as claim_quote from kept", "manuscript")
 def numerical_claims(m):
-    return x.numerical_claims(m).drop("locator")
+    return x.numerical_claims(m)
 
 
 FIRST = "coalesce(" + ", ".join(f"nullif(regexp_extract(sentence, '(?i){p}'), '')" for p in t.SCOPE) + ")"
@@ -194,14 +199,6 @@ leak as (select *, case when mr = '' then cast([] as varchar[]) else string_spli
 found as (select *, (au <> '' or iu <> '') and mr <> '' and len(missing) / greatest(1, len(ms)) >= 0.6 as lopsided, round(len(missing) / greatest(1, len(ms)), 3) as leak_ratio from leak)"""
 
 
-def _scope(m: DataFrame) -> DataFrame:
-    marked = x.scan_markers(x.parse_sections(m))
-    missing = F.array_except("methods_restriction", "abstract_restriction")
-    ratio = F.size(missing) / F.greatest(F.size("methods_restriction"), F.lit(1))
-    upstream = (F.size("abstract_universal") > 0) | (F.size("introduction_universal") > 0)
-    return marked.withColumns({"leak_ratio": F.round(ratio, 3), "asymmetric": upstream & (F.size("methods_restriction") > 0) & (ratio >= 0.6)})
-
-
 @query(f"with {MARKED} select paper_id, round, au as abstract_universal, ar as abstract_restriction, iu as introduction_universal, mr as methods_restriction from marked", "manuscript")
 def scan_markers(m):
     out = x.scan_markers(x.parse_sections(m))
@@ -210,13 +207,37 @@ def scan_markers(m):
 
 @query(f"with {MARKED} select paper_id, round, leak_ratio from found where lopsided", "manuscript")
 def scope_asymmetry(m):
-    return _scope(m).where("asymmetric").select("paper_id", "round", "leak_ratio")
+    return sc.findings(m).where("finding = 'universality_asymmetry'").select("paper_id", "round", "leak_ratio")
+
+
+#: Every other pair of abstracts with a broad claim, so that restrictions leak where it isn't universal; the rest of the text is as rendered.
+BROAD = "broad as (select paper_id, round, case when paper_id % 4 < 2 then replace(tex, 'We prove the bound', 'We prove that the bound holds') else tex end as tex from manuscript), "
+LEAKS = BROAD + MARKED.replace("from manuscript", "from broad") + """, named as (select f.*, case when lopsided then 'universality_asymmetry' when regexp_matches(lower(s.abstract), 'prove that') and len(missing) >= 3 then 'restriction_leakage' when f.methods = '' then 'methods_missing' end as finding,
+s.abstract from found f join sections s using (paper_id, round))"""
+
+
+def _broad(m: DataFrame) -> DataFrame:
+    return m.withColumn("tex", F.when(F.col("paper_id") % 4 < 2, F.replace("tex", F.lit("We prove the bound"), F.lit("We prove that the bound holds"))).otherwise(F.col("tex")))
+
+
+@query(f"with {LEAKS} select paper_id, round, len(missing) as n_missing from named where finding = 'restriction_leakage'", "manuscript")
+def scope_leakage(m):
+    return sc.findings(_broad(m)).where("finding = 'restriction_leakage'").select("paper_id", "round", F.size("missing").cast("long").alias("n_missing"))
+
+
+CUT = "case when length(C) <= 280 then C else substr(C, 1, 279) || '…' end"
+
+
+@query(f"""with {LEAKS} select paper_id, round, case when finding = 'methods_missing' then 'unverifiable' else 'verified' end as status, case when finding is null then 'minor' when finding = 'restriction_leakage' then 'major' else 'P0' end as severity,
+case when finding = 'methods_missing' then 'tool' end as kind, case when finding = 'universality_asymmetry' then 'high' else 'medium' end as confidence, 'internal-consistency-' || coalesce(finding, 'consistent') as root_cause_key,
+{CUT.replace('C', COLLAPSE.format('abstract'))} as quote, {CUT.replace('C', COLLAPSE.format('methods'))} as paired_quote from named""", "manuscript")
+def scope_targets(m):
+    return sc.targets(sc.findings(_broad(m))).drop("locator", "finding")
 
 
-@query(f"with {MARKED} select round, case when methods = '' then 'unverifiable' when lopsided then 'failed' else 'verified' end as status, count(*) as n from found group by all", "manuscript")
+@query(f"with {LEAKS} select round, case when methods = '' then 'unverifiable' when finding is not null then 'failed' else 'verified' end as status, case when methods = '' or finding = 'universality_asymmetry' then 'P0' when finding is not null then 'major' else 'minor' end as severity, count(*) as n from named group by all", "manuscript")
 def scope_rollup(m):
-    status = F.when(F.col("methods") == "", "unverifiable").when(F.col("asymmetric"), "failed").otherwise("verified")
-    return _scope(m).groupBy("round", status.alias("status")).agg(F.count("*").alias("n"))
+    return sc.report(sc.findings(_broad(m))).groupBy("round", "status", "severity").agg(F.count("*").alias("n"))
 
 
 EQS = rf"""eqs as (select paper_id, round, unnest(range(0, len(e))) as eq, trim(regexp_replace(unnest(e), '^(?:\$\$|\\begin\{{equation\*?\}})|(?:\$\$|\\end\{{equation\*?\}})$', '', 'g')) as body
@@ -225,36 +246,23 @@ EQS = rf"""eqs as (select paper_id, round, unnest(range(0, len(e))) as eq, trim(
 
 @query(f"with {EQS} select * from eqs", "manuscript")
 def equations(m):
-    return x.equations(m)
+    return fm.equations(m).select("paper_id", "round", "eq", "body")
 
 
 @query(rf"with {EQS} select paper_id, round, eq, 0 as pair, trim(split_part(body, '=', 1)) as lhs, trim(split_part(body, '=', 2)) as rhs from eqs where contains(body, '=') and not contains(body, ':=')", "manuscript")
 def equality_pairs(m):
-    return x.equality_pairs(x.equations(m))
-
-
-@query(rf"with {EQS} select paper_id, round, eq, contains(body, ':=') as is_definition from eqs", "manuscript")
-def is_definition(m):
-    return x.equations(m).select("paper_id", "round", "eq", t.is_definition(F.col("body")).alias("is_definition"))
-
-
-@query(rf"with {EQS} select paper_id, round, eq, '\int' as hits from eqs where contains(body, '\int')", "manuscript")
-def unparseable_hits(m):
-    return x.equations(m).select("paper_id", "round", "eq", F.array_join(t.unparseable_hits(F.col("body")), "|").alias("hits")).where("hits <> ''")
-
-
-@query("select paper_id, round, 'calA' as name, 'A' as body from manuscript", "manuscript")
-def macros(m):
-    return x.macros(m)
+    return fm.equality_pairs(m)
 
 
 def _tokens(c: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
 
 
-@query(f"select b.cite_key, c.doi, round(len(list_intersect({_tokens('b.title')}, {_tokens('c.title')})) / greatest(len({_tokens('b.title')}), len({_tokens('c.title')})), 3) as similarity from bib b join catalog c on b.year = c.year", "bib catalog")
+@query(f"select b.cite_key, c.doi, round(len(list_intersect({_tokens('b.title')}, {_tokens('c.title')})) / greatest(len({_tokens('b.title')}), len({_tokens('c.title')})), 3) as similarity from bib b join catalog c on substr(b.cite_key, 2) = replace(c.doi, '10.1234/part.', '')", "bib catalog")
 def title_similarity(b, c):
-    return b.select("cite_key", "year", F.col("title").alias("a")).join(c.select("year", F.col("doi").alias("doi"), F.col("title").alias("b")), "year").select("cite_key", "doi", F.round(t.title_similarity(F.col("a"), F.col("b")), 3).alias("similarity"))
+    """Each entry's title and its catalogue row's, which differs for every fourth."""
+    pairs = b.select("cite_key", F.substring("cite_key", 2, 20).alias("part"), F.col("title").alias("a")).join(c.select(F.replace("doi", F.lit("10.1234/part."), F.lit("")).alias("part"), "doi", F.col("title").alias("b")), "part")
+    return pairs.select("cite_key", "doi", F.round(t.title_similarity(F.col("a"), F.col("b")), 3).alias("similarity"))
 
 
 GRAMS = """p as (select locator, translate(lower(trim(regexp_replace(prev_quote, '\\s+', ' ', 'g'))), '“”‘’', '''''''''') as a, translate(lower(trim(regexp_replace(curr_quote, '\\s+', ' ', 'g'))), '“”‘’', '''''''''') as b, prev_quote, curr_quote from drift_pair),
@@ -294,19 +302,37 @@ def deletion_evasion(tg, f):
     return g.deletion_evasion(g.of_round(tg, 1), g.of_round(tg, 2), f)
 
 
-@query(f"with {CITES} select distinct paper_id, 'cite:' || cite_key as locator from claims c where round = 2 and not exists (select 1 from claims p where p.round = 1 and p.paper_id = c.paper_id and p.cite_key = c.cite_key)", "manuscript bib")
-def new_citations(m, b):
+COVERED = "covered as (select distinct 'cite:p' || (seq % 40) as locator from target where round = 2 and verifier_id = 'citations' and status = 'verified')"
+NEW_CITES = f"""{CITES}, {COVERED}, fresh as (select distinct paper_id, 'cite:' || cite_key as locator from claims c where round = 2 and not exists (select 1 from claims p where p.round = 1 and p.paper_id = c.paper_id and p.cite_key = c.cite_key)
+ and 'cite:' || cite_key not in (select locator from covered))"""
+
+
+def _new_citations(m: DataFrame, b: DataFrame, tg: DataFrame) -> DataFrame:
+    """Verified targets cover the keys p0 to p39."""
     c = x.citation_claims(m, b)
-    return c.where("round = 2").select("paper_id", "locator").distinct().join(c.where("round = 1"), ["paper_id", "locator"], "left_anti")
+    cited = g.of_round(tg, 2).where("verifier_id = 'citations'").withColumn("locator", F.concat(F.lit("cite:p"), (F.col("seq") % 40).cast("string")))
+    return g.new_citations(c.where("round = 1"), c.where("round = 2"), cited)
+
+
+@query(f"with {NEW_CITES} select * from fresh", "manuscript bib target")
+def new_citations(m, b, tg):
+    return _new_citations(m, b, tg)
 
 
 NORM = "translate(lower({0}), '“”‘’', '''''''''')".format(QUOTE)
+NEW_SCOPE = f"""{SCOPES}, made as (select paper_id, round, 'scope:' || (row_number() over (partition by paper_id, round order by seq, n) - 1) as locator, {NORM} as quote from scopes),
+added as (select paper_id, locator, quote from made where round = 2 and quote not in (select quote from made where round = 1) and not exists (select 1 from target where round = 3 and verifier_id = 'scope'))"""
 
 
-@query(f"with {SCOPES} select paper_id, {NORM} as quote from scopes where round = 2 and {NORM} not in (select {NORM} from scopes where round = 1)", "manuscript")
-def new_scope(m):
+def _new_scope(m: DataFrame, tg: DataFrame) -> DataFrame:
+    """The reports of a third round, of which there are none, leave the gate open."""
     c = x.scope_claims(m)
-    return g.new_scope(c.where("round = 1"), c.where("round = 2"), False).select("paper_id", "quote")
+    return g.new_scope(c.where("round = 1"), c.where("round = 2"), g.of_round(tg, 3))
+
+
+@query(f"with {NEW_SCOPE} select * from added", "manuscript target")
+def new_scope(m, tg):
+    return _new_scope(m, tg)
 
 
 @query("select locator, arg_min(seq, seq) as seq from target where round = 2 group by locator", "target")
@@ -408,7 +434,7 @@ done as (select event_id, agreed, missing, case when missing or not agreed or vd
 
 @query(f"with {INGEST} select event_id, agreed, status, case status when 'verified' then 'minor' else 'P0' end as severity, case when missing then 'env' when status = 'unverifiable' then 'evidence' end as kind from done", "events judge_result")
 def ingest_citations(e, j):
-    return r.ingest(e, j)
+    return r.ingest(e, j).drop("missing", "verdict")
 
 
 @query(f"with {INGEST} select agreed, count(*) as n from done group by agreed", "events judge_result")
@@ -428,8 +454,9 @@ def resolve_doi(b, c):
 
 
 TITLED = f"""names as (select cite_key, title, year, list_transform(string_split(author, ' and '), lambda a: regexp_replace(lower(split_part(a, ',', 1)), '[^a-z]', '', 'g')) as ns from bib),
-hits as (select n.cite_key, c.doi as hit_doi, c.title as hit_title, c.year as hit_year, c.abstract as hit_abstract from names n join catalog c on abs(n.year - c.year) <= 1 and len(list_intersect({_tokens('n.title')}, {_tokens('c.title')})) / greatest(len({_tokens('n.title')}), len({_tokens('c.title')})) >= 0.7
- and list_contains(n.ns, regexp_replace(lower(string_split(c.author, ' ')[-1]), '[^a-z]', '', 'g')) where length(n.title) >= 6 qualify row_number() over (partition by n.cite_key order by c.hit_rank, c.doi) = 1)"""
+alike as (select n.*, c.doi as hit_doi, c.title as hit_title, c.year as hit_year, c.abstract as hit_abstract, c.author, c.hit_rank from names n join catalog c on len(list_intersect({_tokens('n.title')}, {_tokens('c.title')})) / greatest(len({_tokens('n.title')}), len({_tokens('c.title')})) >= 0.7
+ where length(n.title) >= 6 qualify row_number() over (partition by n.cite_key order by c.hit_rank, c.doi) <= 5),
+hits as (select * from alike where abs(year - hit_year) <= 1 and list_contains(ns, regexp_replace(lower(string_split(author, ' ')[-1]), '[^a-z]', '', 'g')) qualify row_number() over (partition by cite_key order by hit_rank, hit_doi) = 1)"""
 
 
 @query(f"with {TITLED} select cite_key, hit_doi, hit_title, hit_year from hits", "bib catalog")
@@ -448,9 +475,11 @@ def author_mismatch(b, c):
     return r.author_mismatch(b, c)
 
 
-@query("select event_id, case when cast(ts as timestamp) >= timestamp '2024-01-15 00:00:00' then 'fresh' else 'expired' end as state, sha256(props) as cache_key from events", "events")
+@query("select event_id, case when cast(ts as timestamp) > (select max(cast(ts as timestamp)) from events) - interval 15 day then 'fresh' else 'expired' end as state, sha256(props) as cache_key from events", "events")
 def cache_ttl(e):
-    return e.select("event_id", F.when(F.col("ts").cast("timestamp") >= F.lit("2024-01-15 00:00:00").cast("timestamp"), "fresh").otherwise("expired").alias("state"), F.sha2("props", 256).alias("cache_key"))
+    """Entries of the cache at the time of the last one, kept for 15 days."""
+    now = e.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return r.cache_state(e.select("event_id", F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("stored")), now, 15).select("event_id", "state", "cache_key")
 
 
 @query("select event_id, user_id from events where event_id % 10 <> 0", "events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import formulas as m
 from ..operators import judging as jd
 from ..operators import resolve as r
@@ -68,8 +69,8 @@ def alignment_rows(d):
 @query(r"""select doc_id as paper_id, 0 as eq, 0 as pair, 'x_{i=' || (doc_id % 9) || '}' as lhs, (doc_id % 7) || ' Y' as rhs from documents union all select doc_id, 0, 1, (doc_id % 7) || ' Y', '{a \\ b}' from documents
 union all select doc_id, 1, 0, 'Z(' || (doc_id % 5) || '=u)', 'W' from documents""", "documents")
 def equality_chains(d):
-    """Equalities at the top level only; the definition makes none (its target has no sides)."""
-    return m.math_targets(_pieces(d)).where("lhs is not null").select("paper_id", "eq", "pair", F.trim("lhs").alias("lhs"), F.trim("rhs").alias("rhs"))
+    """Equalities at the top level only; the definition makes none."""
+    return m.equality_pairs(_pieces(d)).drop("round")
 
 
 def _defined(d):
@@ -89,7 +90,7 @@ def macro_expand(d):
 
 @query(r"""select doc_id as paper_id, name, arity, body from documents cross join (values ('pair', 2, '\frac{#1}{#2}'), ('twice', 1, '#1#1'), ('far', 0, '\near^{2}'), ('near', 0, 'N'), ('loop', 0, '\loop+1')) as k(name, arity, body)
 union all select doc_id, 'set', 0, '\mathbf{S}_{' || (doc_id % 4) || '}' from documents""", "documents")
-def macro_table(d):
+def macros(d):
     return m.macros(_defined(d)).drop("round")
 
 
@@ -104,5 +105,23 @@ def equation_cap(s):
     return kept.join(m.truncated(eqs).select("paper_id", "error"), "paper_id", "left")
 
 
+@query("select p_partkey, p_partkey % 4 <> 3 as is_definition from part", "part")
+def is_definition(p):
+    signs = F.array(F.lit(":="), F.lit(r"\equiv"), F.lit(r"\coloneqq"), F.lit("="))
+    body = F.concat(F.lit("a "), F.element_at(signs, (F.col("p_partkey") % 4 + 1).cast("int")), F.lit(" "), F.col("p_name"))
+    return p.select("p_partkey", t.is_definition(body).alias("is_definition"))
+
+
+TOKENS = "[" + ", ".join(f"'{x}'" for x in t.UNPARSEABLE) + "]"
+
+
+@query(f"""with b as (select p_partkey, 'a ' || {TOKENS}[1 + p_partkey % 30] || ' x = ' || case when p_size % 2 = 0 then {TOKENS}[1 + p_size % 30] else 'y' end as body from part)
+select p_partkey, array_to_string(list_filter({TOKENS}, lambda e: contains(body, e)), '|') as hits from b""", "part")
+def unparseable_hits(p):
+    token = lambda c: F.element_at(F.array(*map(F.lit, t.UNPARSEABLE)), (F.col(c) % 30 + 1).cast("int"))
+    body = F.concat(F.lit("a "), token("p_partkey"), F.lit(" x = "), F.when(F.col("p_size") % 2 == 0, token("p_size")).otherwise("y"))
+    return p.select("p_partkey", F.array_join(t.unparseable_hits(body), "|").alias("hits"))
+
+
 Q = {k: f for k, f in catalogue.Q.items() if k not in _before}
 SQL = {k: s for k, s in catalogue.SQL.items() if k in Q}

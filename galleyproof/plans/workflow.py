@@ -91,15 +91,14 @@ def unverifiable_kind(e):
     return e.select("event_id", jd.unverifiable_kind(F.expr(ERROR)).alias("kind"))
 
 
-@query(f"""with {INGEST} select event_id, case when event_id % 8 = 0 or event_id % 9 = 0 then 'unverifiable' else status end as status,
-case when event_id % 8 = 0 or event_id % 9 = 0 or status <> 'verified' then 'P0' else 'minor' end as severity,
-case when event_id % 8 = 0 then case when event_id % 6 in (0, 1, 3) then 'env' else 'evidence' end when event_id % 9 = 0 then 'evidence' when missing then 'env' when status = 'unverifiable' then 'evidence' end as kind,
-case when event_id % 8 = 0 then 'unresolvable' when event_id % 9 = 0 then 'author-mismatch' when status = 'unverifiable' then 'judge-unresolved' when status = 'verified' then 'match' else 'not-supported' end as cause from done""", "events judge_result")
+@query(f"""with {INGEST}, v as (select d.event_id, d.status, d.missing, b.vd, event_id % 8 = 0 as lost, event_id % 9 = 0 as other from done d join both_ b using (event_id))
+select event_id, case when lost or other then 'unverifiable' else status end as status, case when not lost and not other and status = 'verified' then 'minor' else 'P0' end as severity,
+case when lost then case when event_id % 6 in (0, 1, 3) then 'env' else 'evidence' end when other then 'evidence' when missing then 'env' when status = 'unverifiable' then 'evidence' end as kind,
+case when lost then 'unresolvable' when other then 'author-mismatch' when status = 'unverifiable' then 'judge-unresolved' when vd = 'supports' then 'match' when vd = 'contradicts' then 'contradicts' else 'not-addressed' end as cause from v""", "events judge_result")
 def classify_citations(e, j):
-    rows = r.ingest(e, j).join(e.select("event_id", F.expr(ERROR).alias("error")), "event_id")
-    lost, other = F.col("event_id") % 8 == 0, F.col("event_id") % 9 == 0
-    s = F.col("status")
-    return rows.select("event_id", F.when(lost | other, "unverifiable").otherwise(s).alias("status"), F.when(lost | other, "P0").otherwise(F.col("severity")).alias("severity"), F.when(lost, jd.unverifiable_kind(F.col("error"))).when(other, "evidence").otherwise(F.col("kind")).alias("kind"), F.when(lost, "unresolvable").when(other, "author-mismatch").when(s == "unverifiable", "judge-unresolved").when(s == "verified", "match").otherwise("not-supported").alias("cause"))
+    known = e.select("event_id", (F.col("event_id") % 8 != 0).alias("sufficient"), (F.col("event_id") % 9 == 0).alias("author_mismatch"), F.expr(ERROR).alias("error"))
+    rows = r.ingest(e, j).select("event_id", "missing", "agreed", "verdict").join(known, "event_id")
+    return r.classify(rows).select("event_id", "status", "severity", "kind", "cause")
 
 
 @query("""select doc_id, k.kind, 'd' || cast(doc_id as varchar) || ':' || k.kind as task_id, 'Claim: ' || substr(coalesce(text, ''), 1, 300) || chr(10) || 'Context: ' || substr(coalesce(text, ''), 301, 1200) as prompt
@@ -148,16 +147,31 @@ def explode_targets(tg):
     return reports.select("round", "verifier_id", F.inline("targets"))
 
 
-@query("""with prev as (select * from target where round = 1), curr as (select * from target where round = 2),
-gone as (select p.root_cause_key, p.locator from prev p where (p.severity = 'P0' or p.status = 'failed') and p.root_cause_key not in (select root_cause_key from curr) and p.root_cause_key not in (select finding_key from fix_log where disposition = 'fixed')),
-back as (select c.root_cause_key, c.locator from curr c where c.status in ('failed', 'unverifiable') and c.root_cause_key in (select root_cause_key from prev where status = 'verified'))
-select 'regression' as checker, * from back union all select 'deletion_evasion', * from gone""", "target fix_log")
-def regression_report(tg, f):
-    """All checkers' rows, one for each cause, the first checker's."""
+@query(f"""with {catalogue.GRAMS}, {catalogue.NEW_CITES}, {catalogue.NEW_SCOPE[len(catalogue.SENT) + 2:]}, prev as (select * from target where round = 1), curr as (select * from target where round = 2),
+gone as (select p.root_cause_key from prev p where (p.severity = 'P0' or p.status = 'failed') and p.root_cause_key not in (select root_cause_key from curr) and p.root_cause_key not in (select finding_key from fix_log where disposition = 'fixed')),
+back as (select c.root_cause_key from curr c where c.status in ('failed', 'unverifiable') and c.root_cause_key in (select root_cause_key from prev where status = 'verified')),
+listed as (select 'regressions' as checker, 'regression:' || root_cause_key as locator, 'failed' as status, 'P0' as severity, null as kind, 'regression-' || root_cause_key as root_cause_key from back
+ union all select 'claim_drift', 'claim-drift:' || locator, 'failed', case when differ then 'P0' else 'major' end, null, 'claim-drift-' || locator from j where not same and overlap < 0.9
+ union all select 'deletion_evasion', 'deletion-evasion:' || root_cause_key, 'failed', 'P0', null, 'deletion-evasion-' || root_cause_key from gone
+ union all select distinct 'new_citations', 'new-citation:' || locator, 'unverifiable', 'P0', 'evidence', 'new-citation-uncovered-' || locator from fresh
+ union all select distinct 'new_scope', 'new-scope:' || locator, 'unverifiable', 'P0', 'evidence', 'new-scope-uncovered-' || locator from added)
+select * from listed""", "manuscript bib target fix_log drift_pair")
+def regression_report(m, b, tg, f, d):
+    """All checkers' targets, one for each cause."""
     prev, curr = g.of_round(tg, 1), g.of_round(tg, 2)
-    found = g.regressions(prev, curr, ["root_cause_key"]).select(F.lit(0).alias("place"), F.lit("regression").alias("checker"), "root_cause_key", "locator")
-    found = found.unionByName(g.deletion_evasion(prev, curr, f).select(F.lit(1).alias("place"), F.lit("deletion_evasion").alias("checker"), "root_cause_key", "locator"))
-    return v.first_by(found, "root_cause_key", "place", "locator").drop("place")
+
+    def named(rows, of, prefix, cause, status="failed"):
+        severity = F.col("severity") if prefix == "claim-drift:" else F.lit("P0")
+        return rows.select(F.concat(F.lit(prefix), of).alias("locator"), F.lit(status).alias("status"), severity.alias("severity"), F.concat(F.lit(cause), of).alias("root_cause_key"))
+
+    found = g.report({
+        "regressions": lambda: named(g.regressions(prev, curr, ["root_cause_key"]), "root_cause_key", "regression:", "regression-"),
+        "claim_drift": lambda: named(g.claim_drift(d), "locator", "claim-drift:", "claim-drift-"),
+        "deletion_evasion": lambda: named(g.deletion_evasion(prev, curr, f), "root_cause_key", "deletion-evasion:", "deletion-evasion-"),
+        "new_citations": lambda: named(catalogue._new_citations(m, b, tg), "locator", "new-citation:", "new-citation-uncovered-", "unverifiable"),
+        "new_scope": lambda: named(catalogue._new_scope(m, tg), "locator", "new-scope:", "new-scope-uncovered-", "unverifiable"),
+    })
+    return found.drop("notes")
 
 
 @query(r"""select cite_key, regexp_extract(bibtex, '@(\w+)\{', 1) as entry_type, trim(replace(replace(regexp_extract(bibtex, 'title = (.*),', 1), '{', ''), '}', '')) as title, regexp_extract(bibtex, 'author = \{(.*)\},', 1) as author, cast(regexp_extract(bibtex, 'year = \{(\d+)\}', 1) as int) as year from bib""", "bib")
@@ -165,19 +179,14 @@ def bib_parse(b):
     """Entries of BibTeX text: key, kind and fields."""
     text = F.col("bibtex")
     field = lambda name: F.regexp_extract(text, rf"(?m)^\s*{name}\s*=\s*\{{(.*)\}},?$", 1)
-    return b.select(F.regexp_extract(text, r"@\w+\{([^,\s]+),", 1).alias("cite_key"), F.lower(F.regexp_extract(text, r"@(\w+)\{", 1)).alias("entry_type"), t.strip_braces(field("title")).alias("title"), field("author").alias("author"), F.regexp_extract(field("year"), r"\d+", 0).cast("int").alias("year"))
+    return b.select(F.regexp_extract(text, r"@\w+\{([^,\s]+),", 1).alias("cite_key"), F.lower(F.regexp_extract(text, r"@(\w+)\{", 1)).alias("entry_type"), t.strip_braces(field("title")).alias("title"), field("author").alias("author"), F.regexp_extract(field("year"), r"\d{4}", 0).try_cast("int").alias("year"))
 
 
-@query(f"""select paper_id, round, count(*) filter (k = 'c') as n_citation, count(*) filter (k = 'n') as n_numerical, count(*) filter (k = 's') as n_scope from (
-select paper_id, round, 'c' as k from ({catalogue.SQL["citation_claims"]}) union all select paper_id, round, 'n' from ({catalogue.SQL["numerical_claims"]}) union all select paper_id, round, 's' from ({catalogue.SQL["scope_claims"]})) group by all""", "manuscript bib")
+@query(f"""with {catalogue.CITES}, {catalogue.NUMS[len(catalogue.SENT) + 2:]}, {catalogue.SCOPES[len(catalogue.SENT) + 2:]}, said as (select paper_id, round, 'citation' as type, number, 'cite:' || cite_key as locator from claims
+union all select paper_id, round, 'numerical', number, 'numclaim:' || number from kept union all select paper_id, round, 'scope', k, 'scope:' || k from (select *, row_number() over (partition by paper_id, round order by seq, n) - 1 as k from scopes))
+select paper_id, round, count(*) filter (type = 'citation') as n_citation, count(*) filter (type = 'numerical') as n_numerical, count(*) filter (type = 'scope') as n_scope, string_agg(locator, '|' order by type, number) filter (number < 2) as sample from said group by all""", "manuscript bib")
 def extract_summary(m, b):
-    """Claims of each paper by type."""
-    kinds = [("c", x.citation_claims(m, b)), ("n", x.numerical_claims(m)), ("s", x.scope_claims(m))]
-    rows = kinds[0][1].select("paper_id", "round", F.lit("c").alias("k"))
-    for k, df in kinds[1:]:
-        rows = rows.union(df.select("paper_id", "round", F.lit(k)))
-    n = lambda k: F.count_if(F.col("k") == k)
-    return rows.groupBy("paper_id", "round").agg(n("c").alias("n_citation"), n("n").alias("n_numerical"), n("s").alias("n_scope"))
+    return x.extract_summary(m)
 
 
 Q = {k: f for k, f in catalogue.Q.items() if k not in _before}

@@ -116,13 +116,23 @@ from documents where length(text) > 20
 }
 
 
+#: Tables of texts, whose rows are work enough to be dealt out.
+TEXTS = ["documents", "pages"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a small one of texts, which lies in fewer files than there are cores, is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() <= cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rendered view, or a driver table, of the folder."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for table in TABLES:
-        if f" {table}" in VIEWS[name]:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return table(spark, sf_dir, name)
+    for x in TABLES:
+        if f" {x}" in VIEWS[name]:
+            table(spark, sf_dir, x).createOrReplaceTempView(x)
     return spark.sql(VIEWS[name])
 
 
