@@ -145,3 +145,25 @@ def expand(tex: str, known: Macros, passes: int = 5, all_calls: bool = True) ->
     if opened != closed:
         return tex, f"macro expansion produced unbalanced braces ({opened} open, {closed} close)"
     return now, None
+
+
+_ENTRY = re.compile(r"@(?P<kind>[A-Za-z]+)\s*(?=\{)")
+_FIELD = re.compile(r"[\s,]*(?P<name>[A-Za-z][\w-]*)\s*=\s*(?:(?P<open>\{)|\"(?P<quoted>[^\"]*)\"|(?P<bare>[^\s,{}]+))")
+
+
+def bib_entries(text: str) -> list[tuple[str, str, dict[str, str]]]:
+    """Key, kind and fields (lower-case names) of each entry of BibTeX text, in order; one whose brace doesn't close is left out."""
+    out = []
+    for m in _ENTRY.finditer(text):
+        end = group_end(text, m.end())
+        key, comma, _ = text[m.end() + 1 : end].partition(",") if end > 0 else ("", "", "")
+        if not comma or m["kind"].lower() in ("comment", "string", "preamble"):
+            continue
+        values, at = {}, m.end() + 1 + len(key)
+        while f := _FIELD.match(text, at, end - 1):
+            at = group_end(text, f.start("open")) if f["open"] else f.end()
+            if at < 0:
+                break
+            values[f["name"].lower()] = text[f.start("open") + 1 : at - 1] if f["open"] else f["quoted"] if f["quoted"] is not None else f["bare"]
+        out.append((key.strip(), m["kind"].lower(), values))
+    return out

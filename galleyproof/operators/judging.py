@@ -60,17 +60,69 @@ def wave_status(triple_replies: DataFrame, compare_replies: DataFrame, sections:
     return rows.select("*", phase.alias("phase"))
 
 
-def cost(usage: DataFrame, rates: dict[str, tuple[float, float]], warn_above: int = 100) -> DataFrame:
-    """Cost of (model, tokens_in, tokens_out) by model, at rates for a million tokens in and out; null for a model without rates.
+def cost(usage: DataFrame, rates: DataFrame, warn_above: int = 100) -> DataFrame:
+    """Cost of (model, tokens_in, tokens_out) by model, at rates (model, rate_in, rate_out) for a million tokens; null for a model without rates.
 
-    A suffix in brackets doesn't count as part of a model's name.
+    A suffix in brackets doesn't count as part of a model's name. Usage is summed before it meets the rate card.
     """
     rows = usage.withColumn("model", F.regexp_replace("model", r"\[[^\]]*\]$", ""))
     sums = rows.groupBy("model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count("*").alias("n"))
-    ladder = F.lit(None).cast("double")
-    for model, (r_in, r_out) in rates.items():
-        ladder = F.when(F.col("model") == model, F.round((F.col("tokens_in") * r_in + F.col("tokens_out") * r_out) / 1e6, 4)).otherwise(ladder)
-    return sums.select("model", "tokens_in", "tokens_out", ladder.alias("cost"), (F.col("n") > warn_above).alias("warn"))
+    price = F.round((F.col("tokens_in") * F.col("rate_in") + F.col("tokens_out") * F.col("rate_out")) / 1e6, 4)
+    return sums.join(rates, "model", "left").select("model", "tokens_in", "tokens_out", price.alias("cost"), (F.col("n") > warn_above).alias("warn"))
+
+
+#: Fixed: lengths to which parts of a prompt are cut, and tokens that a reply may take, by kind of task.
+CONTEXT, SIDE, SECTION = 1200, 300, 6000
+REPLY = {"primary": 400, "devils_advocate": 400, "triples": 800, "compare": 900, "math": 300}
+
+
+def _lines(*parts: tuple[str, Column]) -> Column:
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit(""))) for name, c in parts))
+
+
+def citation_prompt(claim: Column, context: Column) -> Column:
+    return _lines(("Claim", F.substring(claim, 1, SIDE)), ("Context", F.substring(context, 1, CONTEXT)))
+
+
+def adversarial_prompt(claim: Column, context: Column) -> Column:
+    return F.concat(F.lit("Look for reasons why the source might not support this.\n"), citation_prompt(claim, context))
+
+
+def triples_prompt(name: Column, body: Column) -> Column:
+    return _lines(("Section", name), ("Text", F.substring(body, 1, SECTION)))
+
+
+def compare_prompt(name_a: Column, claims_a: Column, name_b: Column, claims_b: Column) -> Column:
+    return _lines(("First", name_a), ("Its claims", F.substring(claims_a, 1, SECTION)), ("Second", name_b), ("Its claims", F.substring(claims_b, 1, SECTION)))
+
+
+def math_prompt(lhs: Column, rhs: Column, context: Column) -> Column:
+    return _lines(("Left", F.substring(lhs, 1, SIDE)), ("Right", F.substring(rhs, 1, SIDE)), ("Context", F.substring(context, 1, CONTEXT)))
+
+
+def citation_tasks(pending: DataFrame) -> DataFrame:
+    """(claim_id, kind, task_id, max_tokens, prompt): one task for each pending claim (claim_id, claim, context, fast) in fast mode, else also one for the other side."""
+    kinds = F.when(F.col("fast"), F.array(F.lit("primary"))).otherwise(F.array(F.lit("primary"), F.lit("devils_advocate")))
+    rows = pending.withColumn("kind", F.explode(kinds))
+    prompt = F.when(F.col("kind") == "primary", citation_prompt(F.col("claim"), F.col("context"))).otherwise(adversarial_prompt(F.col("claim"), F.col("context")))
+    tokens = F.when(F.col("kind") == "primary", REPLY["primary"]).otherwise(REPLY["devils_advocate"])
+    return rows.select("claim_id", "kind", F.concat_ws(":", "claim_id", "kind").alias("task_id"), tokens.alias("max_tokens"), prompt.alias("prompt"))
+
+
+def emit(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims (claim_id, claim, context, fast, status) split into the tasks of those that are open (status null) and the state: all claims, open ones pending."""
+    state = claims.withColumn("phase", F.when(F.col("status").isNull(), "pending").otherwise("final"))
+    return citation_tasks(claims.where("status is null")), state
+
+
+MODES = ["sdk", "batch-emit", "batch-ingest"]
+
+
+def backend_mode(chosen: str | None, key: bool, library: bool) -> str:
+    """How judges are asked: as chosen, else directly where there are a key and a library for it, else by tasks for later."""
+    if chosen is not None and chosen not in MODES:
+        raise ValueError(f"{chosen!r} is none of {MODES}")
+    return chosen or ("sdk" if key and library else "batch-emit")
 
 
 def preflight(checks: DataFrame, effects: DataFrame, by: str) -> DataFrame:

@@ -20,10 +20,10 @@ def regressions(prev: DataFrame, curr: DataFrame, key: list[str]) -> DataFrame:
     return curr.where("status in ('failed', 'unverifiable')").join(before, key, "left_semi")
 
 
-def quote_pairs(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """(type, locator, prev_quote, curr_quote) of claims (type, locator, claim_quote) that both rounds have, the last of equal locators; types don't mix."""
-    last = lambda df, name: df.groupBy("type", "locator").agg(F.max_by("claim_quote", "number").alias(name))
-    return last(prev, "prev_quote").join(last(curr, "curr_quote"), ["type", "locator"])
+def quote_pairs(prev: DataFrame, curr: DataFrame, by: list[str]) -> DataFrame:
+    """(by, prev_quote, curr_quote) of claims (by, number, claim_quote) that both rounds have; by names the type of claim, so types don't mix. Of claims with one key the last counts."""
+    last = lambda df, name: df.groupBy(*by).agg(F.max_by("claim_quote", "number").alias(name))
+    return last(prev, "prev_quote").join(last(curr, "curr_quote"), by)
 
 
 def claim_drift(pairs: DataFrame, strict: bool = False, same_from: float = 0.9) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import regression as g
 from ..operators import resolve as r
 from ..operators import scope as sc
 from ..operators import verdicts as v
+from ..sources import files
 from ..sources.rendered import view, with_views
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,18 +483,72 @@ def cache_ttl(e):
     return r.cache_state(e.select("event_id", F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("stored")), now, 15).select("event_id", "state", "cache_key")
 
 
-@query("select event_id, user_id from events where event_id % 10 <> 0", "events")
+@query("""select event_id, user_id, json_extract_string(props, '$.k') as k from events where event_id % 10 <> 0""", "events")
 def jsonl_lenient(e):
+    """Lines of JSON, every tenth broken."""
     line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))
-    return e.where(F.try_parse_json(line).isNotNull()).select("event_id", "user_id")
+    return files.parse_lenient(e.select("event_id", "user_id", line.alias("line")), "k string")
 
 
-@query("select finding_key, disposition from fix_log", "fix_log")
+@query("select locator, length(curr_quote) as n_chars, cast(replace(locator, 'scope:', '') as bigint) % 3 = 0 as warn from drift_pair", "drift_pair")
+def claims_strict(d):
+    """Claims as lines of JSON among comments and blank lines, every third without a reference."""
+    number = F.replace("locator", F.lit("scope:"), F.lit("")).cast("long")
+    reference = F.when(number % 3 != 0, F.struct(F.col("locator").alias("doi")))
+    rows = d.select(F.explode(F.array(F.to_json(F.struct("locator", F.col("curr_quote").alias("claim_quote"), reference.alias("reference"))), F.lit("  # a comment"), F.lit(" "))).alias("line"))
+    return files.parse_strict(rows).select("locator", F.length("claim_quote").cast("long").alias("n_chars"), "warn")
+
+
+@query("select finding_key, disposition, rationale from fix_log", "fix_log")
 def fix_log_load(f):
-    """Half of the log as a list, half under entries."""
-    rows = f.withColumn("part", F.pmod(F.xxhash64("finding_key"), F.lit(16)))
-    listed = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("finding_key", "disposition"))).alias("j"))
-    raw = listed.select(F.when(F.col("part") % 2 == 0, F.col("j")).otherwise(F.concat(F.lit('{"entries":'), "j", F.lit("}"))).alias("j"))
-    kind = "array<struct<finding_key:string,root_cause_key:string,disposition:string>>"
-    entries = F.when(F.col("j").startswith("["), F.from_json("j", kind)).otherwise(F.from_json("j", f"struct<entries:{kind}>")["entries"])
-    return raw.select(F.inline(entries)).select(F.coalesce("finding_key", "root_cause_key").alias("finding_key"), "disposition")
+    """A log for each rationale and last digits, as a list or under entries; every other record has its key under the other name."""
+    name = F.when(F.col("disposition") == "dropped", "root_cause_key").otherwise("finding_key")
+    record = F.struct(F.when(name == "finding_key", F.col("finding_key")).alias("finding_key"), F.when(name == "root_cause_key", F.col("finding_key")).alias("root_cause_key"), "disposition", "rationale")
+    logs = f.groupBy("rationale", F.substring("finding_key", -4, 4).alias("digits")).agg(F.to_json(F.collect_list(record)).alias("j"))
+    line = F.when(F.col("digits") < "5", F.col("j")).otherwise(F.concat(F.lit('{"entries":'), "j", F.lit("}"))).alias("line")
+    return files.parse_fix_log(logs.select(line))
+
+
+PREPRINTS = """entry as (select regexp_replace(arxiv_id, 'v[0-9]+$', '') as arxiv_id, trim(regexp_replace(regexp_extract(xml, '<title>(.*)</title>', 1, 's'), '\\s+', ' ', 'g')) as title, nullif(trim(replace(regexp_extract(xml, '<summary>(.*)</summary>', 1), '&amp;', '&')), '') as abstract,
+cast(regexp_extract(xml, '<published>(\\d{4})', 1) as int) as year from preprint), asked as (select *, cast(1000 + cast(substr(cite_key, 2) as bigint) % 9000 as varchar) || '.' || substr(cite_key, 2) as eprint from bib)"""
+
+
+def _with_eprint(b: DataFrame) -> DataFrame:
+    number = F.substring("cite_key", 2, 20).cast("long")
+    prefix = F.when(number % 2 == 0, "arXiv:").otherwise("")
+    return b.withColumn("eprint", F.concat(prefix, (1000 + number % 9000).cast("string"), F.lit("."), number.cast("string"), F.when(number % 4 == 0, "v7").otherwise("")))
+
+
+@query(f"with {PREPRINTS} select a.cite_key, a.eprint as arxiv_id, e.title, e.abstract, e.year from asked a join entry e on e.arxiv_id = a.eprint", "bib preprint")
+def resolve_arxiv(b, p):
+    found = r.resolve_arxiv(_with_eprint(b), r.read_atom(p)).where("resolved_title is not null")
+    return found.select("cite_key", "arxiv_id", F.col("resolved_title").alias("title"), F.col("resolved_abstract").alias("abstract"), F.col("resolved_year").alias("year"))
+
+
+PLAIN = "nullif(trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+@query(f"""with {PREPRINTS}, {TITLED}, d as (select b.cite_key, b.eprint, c.title, {PLAIN.format('c.abstract')} as abstract, c.year from asked b left join catalog c on b.doi = 'https://doi.org/' || c.doi),
+p as (select d.cite_key, coalesce(d.title, e.title) as title, coalesce(d.abstract, e.abstract) as abstract, coalesce(d.year, e.year) as year from d left join entry e on e.arxiv_id = d.eprint and d.abstract is null)
+select p.cite_key, coalesce(p.title, h.hit_title) as title, coalesce(p.abstract, {PLAIN.format('h.hit_abstract')}) as abstract, coalesce(p.year, h.hit_year) as year from p left join hits h on h.cite_key = p.cite_key and p.abstract is null""", "bib catalog preprint")
+def resolve_chain(b, c, p):
+    """By DOI, preprint id and title in turn."""
+    return r.resolve_reference(_with_eprint(b), c, r.read_atom(p))
+
+
+@query("""with h as (select paper_id, round, instr(tex, chr(92) || 'section{Introduction}') - 1 as i, instr(tex, chr(92) || 'section{Results}') - 1 as r, instr(tex, chr(92) || 'section{Conclusion}') - 1 as c, instr(tex, chr(92) || 'section{Methods}') - 1 as m,
+instr(tex, chr(92) || 'begin{abstract}') - 1 as a, instr(tex, chr(92) || 'end{abstract}') - 1 as z, tex from manuscript),
+p as (select paper_id, round, unnest([a + 20, i + 5, r + 5, c + 5]) as pos, unnest(['abstract', 'Introduction', 'Results', 'Conclusion']) as hint from h union all select paper_id, round, 0, null from h union all select paper_id, round, z + 1, 'paper' from h union all select paper_id, round, m + 3, 'Methods' from h where m >= 0)
+select * from p""", "manuscript")
+def section_hint(m):
+    """The hint around some places of each manuscript: sections end where the next begins, the abstract lies within the paper's body."""
+    named = ["Introduction", "Methods", "Results", "Conclusion"]
+    start = lambda name: F.get(t.places(F.col("tex"), chr(92) + "section{" + name + "}"), F.lit(0))
+    key = ["paper_id", "round"]
+    rows = t.once(m, starts=F.array(*(F.struct(start(n).alias("start"), F.lit(n).alias("hint")) for n in named)), a=F.get(t.places(F.col("tex"), chr(92) + "begin{abstract}"), F.lit(0)), z=F.get(t.places(F.col("tex"), chr(92) + "end{abstract}"), F.lit(0)))
+    there = F.array_sort(F.filter("starts", lambda s: s["start"].isNotNull()))
+    sections = F.transform(there, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(there, i + 1)["start"], F.length("tex")).alias("stop"), s["hint"].alias("hint")))
+    around = F.array(F.struct(F.col("a").alias("start"), F.col("z").alias("stop"), F.lit("abstract").alias("hint")), F.struct(F.col("a").alias("start"), F.length("tex").alias("stop"), F.lit("paper").alias("hint")))
+    spans = rows.select(*key, F.inline(F.concat(sections, around)))
+    at = F.concat(F.array(F.col("a") + 20, F.lit(0), F.col("z") + 1), F.transform(F.filter("starts", lambda s: s["start"].isNotNull()), lambda s: s["start"] + F.when(s["hint"] == "Methods", 3).otherwise(5)))
+    return x.section_hints(rows.select(*key, F.explode(at).alias("pos")), spans, key)

@@ -9,7 +9,7 @@ from ..operators import extract as x
 from ..operators import judging as jd
 from ..operators import regression as g
 from ..operators import resolve as r
-from ..operators import verdicts as v
+from ..sources import files
 from . import catalogue
 from .catalogue import INGEST, JUDGED, query
 
@@ -64,7 +64,7 @@ def wave_status(first, second):
 round(case event_type when 'view' then sum(event_id % 1000) * 3.0 + sum(user_id % 500) * 15.0 when 'click' then sum(event_id % 1000) * 1.0 + sum(user_id % 500) * 5.0 end / 1e6, 4) as cost, count(*) > 100 as warn from events group by event_type""", "events")
 def cost_estimate(e):
     named = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("[long]"))).otherwise(F.col("event_type"))
-    return jd.cost(e.select(named.alias("model"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("user_id") % 500).alias("tokens_out")), {"view": (3.0, 15.0), "click": (1.0, 5.0)})
+    return jd.cost(e.select(named.alias("model"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("user_id") % 500).alias("tokens_out")), e.sparkSession.createDataFrame([("view", 3.0, 15.0), ("click", 1.0, 5.0)], "model string, rate_in double, rate_out double"))
 
 
 #: Checks of the fixture and what each bears on, from the parts table: every brand is a verifier that some checks affect.
@@ -101,15 +101,20 @@ def classify_citations(e, j):
     return r.classify(rows).select("event_id", "status", "severity", "kind", "cause")
 
 
-@query("""select doc_id, k.kind, 'd' || cast(doc_id as varchar) || ':' || k.kind as task_id, 'Claim: ' || substr(coalesce(text, ''), 1, 300) || chr(10) || 'Context: ' || substr(coalesce(text, ''), 301, 1200) as prompt
-from documents join (values ('primary'), ('devils_advocate')) as k(kind) on k.kind = 'primary' or doc_id % 4 <> 0""", "documents")
+@query("""select 'd' || cast(doc_id as varchar) as claim_id, k.kind, 'd' || cast(doc_id as varchar) || ':' || k.kind as task_id, 400 as max_tokens, case k.kind when 'primary' then '' else 'Look for reasons why the source might not support this.' || chr(10) end
+ || 'Claim: ' || substr(coalesce(text, ''), 1, 300) || chr(10) || 'Context: ' || substr(coalesce(text, ''), 301, 1200) as prompt
+from documents join (values ('primary'), ('devils_advocate')) as k(kind) on k.kind = 'primary' or doc_id % 4 <> 0 where doc_id % 5 <> 0""", "documents")
 def judge_tasks(d):
-    """One task for each claim in fast mode (here every fourth), else two, with sides cut to their lengths."""
+    """Tasks of claims that are open: every fourth in fast mode, every fifth settled before."""
     text = F.coalesce("text", F.lit(""))
-    kinds = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("primary"))).otherwise(F.array(F.lit("primary"), F.lit("devils_advocate")))
-    prompt = F.concat(F.lit("Claim: "), F.substring(text, 1, 300), F.lit("\nContext: "), F.substring(text, 301, 1200))
-    rows = d.select("doc_id", prompt.alias("prompt"), F.explode(kinds).alias("kind"))
-    return rows.select("doc_id", "kind", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), "kind").alias("task_id"), "prompt")
+    claims = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("claim_id"), text.alias("claim"), F.substring(text, 301, 1200).alias("context"), (F.col("doc_id") % 4 == 0).alias("fast"), F.when(F.col("doc_id") % 5 == 0, "verified").alias("status"))
+    return jd.emit(claims)[0]
+
+
+@query("select case when doc_id % 5 = 0 then 'final' else 'pending' end as phase, count(*) as n from documents group by 1", "documents")
+def emit_state(d):
+    claims = d.select(F.col("doc_id").cast("string").alias("claim_id"), F.col("text").alias("claim"), F.col("text").alias("context"), F.lit(False).alias("fast"), F.when(F.col("doc_id") % 5 == 0, "verified").alias("status"))
+    return jd.emit(claims)[1].groupBy("phase").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {JUDGED}, m as (select t.round, t.seq, case j.verdict when 'supports' then 'plausible' when 'contradicts' then 'implausible' when 'not_addressed' then 'uncertain' when 'insufficient_context' then 'uncertain' end as vd, j.confidence as cf
@@ -140,11 +145,25 @@ def round_pending(e, j):
     return out.withColumn("phase", F.when(F.col("n_arrived") < F.col("n_expected"), "pending").otherwise("done"))
 
 
-@query("select round, seq, verifier_id, locator, status from target", "target")
+@query("""select 'r' || cast(round as varchar) || '-' || verifier_id || '-' || cast(seq // 64 as varchar) as report, verifier_id, locator, status, severity, root_cause_key, kind from target where seq % 64 <> 63""", "target")
 def explode_targets(tg):
-    """Targets of reports; a report holds 64 order numbers of a verifier."""
-    reports = tg.groupBy("round", "verifier_id", F.floor(F.col("seq") / 64).alias("report")).agg(F.collect_list(F.struct("seq", "locator", "status")).alias("targets"))
-    return reports.select("round", "verifier_id", F.inline("targets"))
+    """Targets of JSON reports; a report holds 64 order numbers of a verifier, and the last of them without targets at all."""
+    evidence = F.struct(F.col("kind").alias("unverifiable_kind"))
+    target = F.when(F.col("seq") % 64 != 63, F.struct("locator", F.initcap("status").alias("status"), F.col("severity").alias("severity_suggestion"), "root_cause_key", evidence.alias("evidence")))
+    name = F.concat(F.lit("r"), F.col("round").cast("string"), F.lit("-"), "verifier_id", F.lit("-"), F.floor(F.col("seq") / 64).cast("string"))
+    reports = tg.groupBy("round", name.alias("report"), "verifier_id").agg(F.collect_list(target).alias("targets"))
+    text = reports.select("report", F.to_json(F.struct("verifier_id", "targets")).alias("line")).union(reports.select("report", F.lit("{not json").alias("line")))
+    return files.targets_of(files.parse_lenient(text, files.REPORT))
+
+
+@query(f"""with {catalogue.NUMS}, {catalogue.SCOPES[len(catalogue.SENT) + 2:]}, said as (select paper_id, round, 'numerical' as type, number, {catalogue.QUOTE} as quote from kept
+union all select paper_id, round, 'scope', row_number() over (partition by paper_id, round order by seq, n) - 1, {catalogue.QUOTE} from scopes)
+select a.paper_id, a.type, a.number, a.quote as prev_quote, b.quote as curr_quote from said a join said b using (paper_id, type, number) where a.round = 1 and b.round = 2 and a.quote <> b.quote""", "manuscript")
+def quote_pairs(m):
+    """Claims of both rounds under one locator whose quotes differ."""
+    c = x.claims(m, ("numerical", "scope")).withColumn("claim_quote", t.truncate(F.col("sentence"), 400))
+    pairs = g.quote_pairs(c.where("round = 1"), c.where("round = 2"), ["paper_id", "type", "number"])
+    return pairs.where("prev_quote <> curr_quote")
 
 
 @query(f"""with {catalogue.GRAMS}, {catalogue.NEW_CITES}, {catalogue.NEW_SCOPE[len(catalogue.SENT) + 2:]}, prev as (select * from target where round = 1), curr as (select * from target where round = 2),
@@ -174,12 +193,11 @@ def regression_report(m, b, tg, f, d):
     return found.drop("notes")
 
 
-@query(r"""select cite_key, regexp_extract(bibtex, '@(\w+)\{', 1) as entry_type, trim(replace(replace(regexp_extract(bibtex, 'title = (.*),', 1), '{', ''), '}', '')) as title, regexp_extract(bibtex, 'author = \{(.*)\},', 1) as author, cast(regexp_extract(bibtex, 'year = \{(\d+)\}', 1) as int) as year from bib""", "bib")
+@query(r"""select cite_key, 'article' as entry_type, trim(regexp_replace(replace(replace(regexp_extract(bibtex, 'title = (.*),', 1), '{', ''), '}', ''), '\s+', ' ', 'g')) as title, regexp_extract(bibtex, 'author = \{(.*)\},', 1) as author, cast(regexp_extract(bibtex, 'year = \{(\d+)\}', 1) as int) as year from bib""", "bib")
 def bib_parse(b):
-    """Entries of BibTeX text: key, kind and fields."""
-    text = F.col("bibtex")
-    field = lambda name: F.regexp_extract(text, rf"(?m)^\s*{name}\s*=\s*\{{(.*)\}},?$", 1)
-    return b.select(F.regexp_extract(text, r"@\w+\{([^,\s]+),", 1).alias("cite_key"), F.lower(F.regexp_extract(text, r"@(\w+)\{", 1)).alias("entry_type"), t.strip_braces(field("title")).alias("title"), field("author").alias("author"), F.regexp_extract(field("year"), r"\d{4}", 0).try_cast("int").alias("year"))
+    """Entries of BibTeX text: every fourth record has its key twice, of which the last counts."""
+    twice = F.when(F.substring("cite_key", 2, 20).cast("long") % 4 == 0, F.concat(F.lit("@book{"), "cite_key", F.lit(', title = "Before", year = 1900}\n'), "bibtex")).otherwise(F.col("bibtex"))
+    return files.parse_bib(b.select(F.col("cite_key").alias("record"), twice.alias("bibtex"))).select("cite_key", "entry_type", "title", "author", "year")
 
 
 @query(f"""with {catalogue.CITES}, {catalogue.NUMS[len(catalogue.SENT) + 2:]}, {catalogue.SCOPES[len(catalogue.SENT) + 2:]}, said as (select paper_id, round, 'citation' as type, number, 'cite:' || cite_key as locator from claims

@@ -112,6 +112,12 @@ select concat('scope:',cast(doc_id as string)) as locator, text as prev_quote,
   case when doc_id % 3 = 0 then replace(text,'e','for all 7')
        when doc_id % 3 = 1 then concat(substr(text,1,length(text) - 4),' 9') else text end as curr_quote
 from documents where length(text) > 20
+""",
+    "preprint": """
+select concat(cast(1000 + p_partkey % 9000 as string), '.', cast(p_partkey as string), 'v', cast(1 + p_size % 3 as string)) as arxiv_id,
+  concat('<feed><entry><title>', p_name, chr(10), '  ', p_type, '</title>', case when p_partkey % 5 = 0 then '<summary> </summary>' else concat('<summary>Of ', p_name, ' &amp; ', p_brand, '.</summary>') end,
+    '<published>', cast(1990 + p_size % 35 as string), '-03-01T00:00:00Z</published><author><name>J. Smith', chr(97 + cast(p_partkey % 20 as int)), '</name></author><author><name>K. Lee</name></author></entry></feed>') as xml
+from part where p_partkey % 3 <> 1
 """,
 }
 
