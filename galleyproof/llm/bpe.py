@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .cluster import cut
+from .cluster import columns_without, cut
 
 REMEMBERED = 1 << 18
 EMIT_BYTES = 1 << 20
@@ -166,8 +166,9 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """The columns of docs and ``out``: the token ids of the whole text (array of int). Null counts as the empty text: no ids.
 
-    Rows stay where they are. path must be readable on the executors.
+    Rows stay where they are. path must be readable on the executors. A column of docs named like ``out`` is replaced.
     """
+    docs = columns_without(docs, [text_col], [out])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """The columns of tokens and ``out``: the bytes that the ids stand for (binary). Null ids give null; an unknown id is an error."""
+    """The columns of tokens and ``out``: the bytes that the ids stand for (binary). Null ids give null; an unknown id is an error. A column of tokens named like ``out`` is replaced."""
+    tokens = columns_without(tokens, [ids_col], [out])
     at = tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,8 @@ def _joined(tokens: pa.Array, sizes: np.ndarray, valid: pa.Array) -> pa.Array:
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
-    """The columns of docs but the text, and ``out``: the number of token ids of the whole text (null: 0)."""
+    """The columns of docs but the text, and ``out``: the number of token ids of the whole text (null: 0). A column of docs named like ``out`` is replaced."""
+    docs = columns_without(docs, [text_col], [out])
     at = docs.columns.index(text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
 
@@ -259,3 +262,27 @@ def context_totals(histogram: DataFrame, width: int = 1024) -> DataFrame:
     within = F.col("all_docs") - F.col("docs_beyond")
     kept = F.col("all_tokens") - F.col("tokens_beyond")
     return h.select(F.col("length").alias("context_limit"), "n_docs", within.alias("docs_within"), kept.alias("tokens_within"), "docs_beyond", (kept + F.col("docs_beyond") * F.col("length")).alias("tokens_truncated"), (within / F.col("all_docs")).alias("quantile"))
+
+
+def totals_at(totals: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_within, tokens_within, docs_beyond, tokens_truncated) for any limits, from context_totals: those of the longest length within, cut at the limit.
+
+    A limit under all lengths truncates every document; without documents all are 0.
+    """
+    asked = totals.sparkSession.createDataFrame([(n,) for n in sorted(set(limits))], "asked long")
+    zero = F.lit(0).cast("long")
+    everything = totals.agg(F.max(F.col("docs_within") + F.col("docs_beyond")).alias("all_docs"))
+    below = totals.select("context_limit", "docs_within", "tokens_within", "docs_beyond")
+    last = F.max(F.when(F.col("context_limit") <= F.col("asked"), F.struct("context_limit", "docs_within", "tokens_within", "docs_beyond"))).alias("x")
+    # The limits asked for are a short list; each row of the histogram meets all of them before a maximum that is combined at once.
+    rows = below.withColumn("asked", F.explode(F.array(*(F.lit(n).cast("long") for n in sorted(set(limits)))))).groupBy("asked").agg(last)
+    rows = asked.join(F.broadcast(rows), "asked", "left").withColumn("all_docs", F.lit(everything.first()[0] or 0).cast("long"))
+    beyond = F.coalesce("x.docs_beyond", "all_docs")
+    within = F.coalesce("x.tokens_within", zero)
+    return rows.select(F.col("asked").alias("context_limit"), F.coalesce("x.docs_within", zero).alias("docs_within"), within.alias("tokens_within"), beyond.alias("docs_beyond"), (within + beyond * F.col("asked")).alias("tokens_truncated"))
+
+
+def length_quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): the smallest length within which at least that share of the documents lies, from context_totals. No documents: no rows."""
+    rows = totals.withColumn("share", F.explode(F.array(*(F.lit(float(x)) for x in shares)))).where(F.col("quantile") >= F.col("share") - 1e-12)
+    return rows.groupBy("share").agg(F.min("context_limit").alias("length"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -85,7 +86,19 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.length_histogram(empty, path, pattern).count() == 0
     totals = bpe.context_totals(bpe.length_histogram(docs, path, pattern)).collect()
     n = np.array([len(r.token_ids) for r in got])
-    assert all(t.tokens_truncated == np.minimum(n, t.context_limit).sum() and t.docs_within == (n <= t.context_limit).sum() for t in totals)
+    for t in totals:
+        want = ((n == t.context_limit).sum(), (n <= t.context_limit).sum(), n[n <= t.context_limit].sum(), (n > t.context_limit).sum(), np.minimum(n, t.context_limit).sum(), (n <= t.context_limit).mean())
+        assert (t.n_docs, t.docs_within, t.tokens_within, t.docs_beyond, t.tokens_truncated) == want[:5] and abs(t.quantile - want[5]) < 1e-12
+    table = bpe.context_totals(bpe.length_histogram(docs, path, pattern), width=5)
+    limits = [0, 1, 7, 500, 10**6]
+    for t in bpe.totals_at(table, limits).collect():
+        c = t.context_limit
+        assert (t.docs_within, t.tokens_within, t.docs_beyond, t.tokens_truncated) == ((n <= c).sum(), n[n <= c].sum(), (n > c).sum(), np.minimum(n, c).sum())
+    for t in bpe.length_quantiles(table, [0.1, 0.5, 0.9, 1.0]).collect():
+        assert t.length == np.sort(n)[int(np.ceil(t.share * len(n) - 1e-9)) - 1]
+    assert bpe.totals_at(bpe.context_totals(bpe.length_histogram(empty, path, pattern)), limits).count() == 5
+    clashing = docs.withColumnsRenamed({"id": "token_ids", "n": "decoded"})
+    assert bpe.decode(bpe.encode(clashing, path, pattern), path, pattern).columns == ["doc_id", "text", "token_ids", "decoded"]
 
 
 def test_sharding(docs, empty):
@@ -94,6 +107,10 @@ def test_sharding(docs, empty):
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
     assert sharding.row_of([r.shard for r in got], [r.slot for r in got], len(got), 5).tolist() == [r.row for r in got]
+    raw = Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    assert Counter((r.id, r["size"], r.text_crc32) for r in got) == raw
+    assert [r.row for r in sorted(got, key=lambda r: r.row)] == list(range(len(ROWS))) and [r.id for r in sorted(got, key=lambda r: r.row)] == sorted(r[0] for r in ROWS)
+    assert got == sharding.assign_shards(docs.repartition(3), 5).collect() or sorted(got) == sorted(sharding.assign_shards(docs.repartition(3), 5).collect())
     assert sharding.assign_shards(empty).count() == 0
 
 
@@ -106,6 +123,38 @@ def test_lines(spark, empty):
     assert line_runs.remove_repeated_lines(empty).count() == 0
 
 
+def test_lines_against_brute_force(spark):
+    """Runs of 50 lines, repeated rows, ties, blank lines, a hot line, clashing columns."""
+    r = random.Random(6)
+    prose = [" ".join(r.choices(WORDS, k=r.randint(1, 6))) + f" {i}" for i in range(200)]
+    run, hot = prose[:50], "licence text of many words that stands in every third document here"
+    texts = []
+    for i in range(60):
+        own = [f"line {i} {j} " + " ".join(r.choices(WORDS, k=3)) for j in range(r.randint(1, 8))]
+        cut = r.randint(0, 30)
+        texts.append("\n".join([*own[:2], *([hot] if i % 3 == 0 else []), "", *(run[cut : cut + r.randint(1, 50)] if i % 2 else []), *own[2:], *(prose[100 + i % 5 : 103 + i % 5])]))
+    texts += ["\n".join(run), "\n".join(run), "\n".join(run * 2), None, "", "\n \n"]
+    rows = [(i, x, "clash", 1) for i, x in enumerate(texts)] + [(7, texts[7], "clash", 1), (None, "\n".join(run[:9]), "clash", 1)]
+    got = line_runs.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, kept string, longest int")).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "n_lines", "removed", "kept", "longest"}
+    once = sorted({(-1 if i is None else i, x) for i, x, *_ in rows if x is not None})
+    filled = {key: [(n, c) for n, c in enumerate(key[1].split("\n")) if c.split()] for key in once}
+    seen, gone = {}, {key: set() for key in once}
+    for key in once:  # earlier documents first; of one document earlier lines first
+        lines = filled[key]
+        for a in range(len(lines)):
+            for z in range(a + 1, min(a + 10, len(lines)) + 1):
+                window = tuple(c for _, c in lines[a:z])
+                if sum(len(c.split()) for c in window) >= 10 and seen.setdefault(window, (key, a)) != (key, a):
+                    gone[key] |= {n for n, _ in lines[a:z]}
+    for row in got:
+        if row.text is not None:
+            want = gone[(-1 if row.doc_id is None else row.doc_id, row.text)]
+            assert row.removed == sorted(want) and row.kept == "\n".join(c for n, c in enumerate(row.text.split("\n")) if n not in want)
+    by = {row.doc_id: row for row in got}
+    assert by[61].longest == 32 and by[61].kept == "" and by[63].kept is None and by[64].n_lines == 1
+
+
 def test_contamination(spark, docs, empty):
     items = spark.createDataFrame([(1, LONG[50:200]), (2, "nowhere to be found"), (3, None), (4, "omega"), (5, "")], "item_id long, text string")
     for size in (fm_index.PHRASE_BYTES, 60):
@@ -118,6 +167,10 @@ def test_contamination(spark, docs, empty):
             want = b"".join((r.text or "").encode()[a:z] for a, z in zip(edges[::2], edges[1::2])).decode()
             assert (cut[r.doc_id].text or "") == want and (cut[r.doc_id].text is None) == (r.text is None)
     assert fm_index.find_contamination(empty, items).count() == 0
+    unnamed = spark.createDataFrame([("", LONG[50:200]), (None, "omega"), ("b", "omega"), ("b", "omega")], "item_id string, text string")
+    clashing = docs.withColumnsRenamed({"id": "spans", "n": "n_words"})
+    got = {r.text: r for r in fm_index.find_contamination(clashing, unnamed).collect()}
+    assert got[LONG].items == [""] and got[TEXTS[6]].items == ["", "b"] and set(got[LONG].asDict()) == {"doc_id", "text", "n_words", "n_hit", "spans", "items"}
 
 
 def test_suffix_array_and_wavelet_tree():
@@ -231,6 +284,32 @@ def test_urls(spark):
     assert [got[i].verdict for i in range(2, 6)] == ["block", "allow", "block", "allow"] and (got[3].host, got[3].path) == ("m.example.net", "/en/1")
 
 
+def test_url_trees(spark):
+    """The trees against a plain reading of them, and on URLs that no rule decides."""
+    r = np.random.default_rng(8)
+    x = np.c_[r.normal(size=(3_000, 3)), r.integers(0, 4, 3_000)].astype(float)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 3] >= 2)).astype(float)
+    trees = url_trees.fit_trees(x[:2_000], y[:2_000])
+    margin = trees.margin(x[2_000:])
+
+    def walk(row):
+        total = trees.base
+        for feature, threshold, leaves in zip(trees.features, trees.thresholds, trees.leaves):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > threshold[node])
+            total += leaves[node - len(feature)]
+        return total
+
+    assert np.allclose(margin[:200], [walk(row) for row in x[2_000:2_200]])
+    assert ((margin > 0) == (y[2_000:] > 0.5)).mean() > 0.95
+    urls = [f"https://a{i}.net/{i}" for i in range(300)] + [f"https://www.example.net/en/{i}" for i in range(300)] + [None, "", "://", "x" * 50_000, "http://é.org/" + "é" * 2_000]
+    rows = [(i, u, "clash", 0.5) for i, u in enumerate(urls)] + [(0, urls[0], "clash", 0.5)]
+    got = url_trees.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string, block_score double")).collect()
+    assert len(got) == len(rows) and all(g.verdict in ("allow", "block") and 0 <= g.block_score <= 1 for g in got)
+    assert url_trees.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     model = resampling.fit(docs, labels.where("doc_id % 2 = 0"))
