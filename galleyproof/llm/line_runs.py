@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import columns_without, cut_to_table, discard
+from .cluster import columns_without, cut_to_table, discard, join_skewed
 
 MIN_WORDS = 10
 
@@ -92,9 +92,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         runs = found if runs is None else runs.unionByName(found)
     if runs is None:
         return docs.select(*_keys(id_col, text_col), F.array().cast("array<int>").alias("ks"), F.lit(0).alias("longest")).limit(0)
-    runs = cut_to_table(runs)
-    first = runs.groupBy("n", "r1", "r2").agg(F.min("at").alias("first"))
-    later = runs.join(first, ["n", "r1", "r2"]).where(~F.col("at").eqNullSafe(F.col("first")))
+    runs = cut_to_table(runs.select("at", F.struct("n", "r1", "r2").alias("run")))
+    first = runs.groupBy("run").agg(F.min("at").alias("first"), F.count("*").alias("uses")).where("uses > 1")
+    later = join_skewed(runs, first.drop("uses"), "run", first.drop("first"), runs.count()).where(~F.col("at").eqNullSafe(F.col("first"))).withColumn("n", F.col("run.n"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n") <= min_words, F.sequence(F.col("at.k"), F.col("at.k") + F.col("n") - 1)))))
     return later.groupBy("at.__id", "at.__d1", "at.__d2").agg(covered.alias("ks"), F.max("n").alias("longest"))
 
