@@ -118,8 +118,8 @@ def columns_without(docs: DataFrame, needed: list[str], new: list[str]) -> DataF
     return docs.select(*(f"`{n}`" for n in docs.columns if n in needed or n.lower() not in taken and not n.startswith("__")))
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "4m") -> None:
-    """Smaller Arrow batches from here on: a batch is held by the JVM and by Python, in several copies, for each running task."""
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") -> None:
+    """Smaller Arrow batches in this session from here on, as plans read the setting when they run: a batch is held by the JVM and by Python, in several copies, for each running task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
