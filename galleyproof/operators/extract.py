@@ -140,3 +140,14 @@ def extract_summary(manuscript: DataFrame, samples: int = 2) -> DataFrame:
     first = F.when(F.col("number") < samples, F.struct("type", "number", locator.alias("locator")))
     counts = [F.count_if(F.col("type") == x).alias(f"n_{x}") for x in TYPES]
     return rows.groupBy(*KEY).agg(*counts, F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["locator"]), "|").alias("sample"))
+
+
+def extract(manuscript: DataFrame, bib: DataFrame) -> tuple[dict[str, DataFrame], list[str]]:
+    """The claims of each type, and the faults of types that can't be planned, for columns they miss or of the wrong kind; the other types stay."""
+    made, faults = {}, []
+    for name, make in (("citation", lambda: citation_claims(manuscript, bib)), ("numerical", lambda: numerical_claims(manuscript)), ("scope", lambda: scope_claims(manuscript))):
+        try:
+            made[name] = make()
+        except Exception as e:  # noqa: BLE001  whatever a stage raises is reported, not hidden
+            faults.append(f"{name} claims: {type(e).__name__}")
+    return made, faults
