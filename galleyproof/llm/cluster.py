@@ -33,16 +33,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014): a hub's neighbours are never gathered into
-    one row, each round being a minimum with map-side combining and a join that can be split when skewed.
+    one row, each round being a minimum with map-side combining and a join in which a hub's rows are dealt to several tasks.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, rows: int) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("hub"), F.least("a", "low").alias("low"))
-        joined = both.join(low, both.a == low.hub)
+        hubs = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("uses")).select("a", F.least("a", "low").alias("low"), "uses")
+        joined = join_skewed(both, hubs.drop("uses"), "a", hubs.drop("low"), rows)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select(F.col("hub").alias("a"), F.col("low").alias("b")))
+            out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(hubs.select("a", F.col("low").alias("b")))
         return out.where("a <> b").distinct()
 
     def mark(pairs: DataFrame):
@@ -53,7 +53,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = cut(star(star(now, True), False))
+        now = cut(star(star(now, True, 2 * seen[0]), False, seen[0]))
         new = mark(now)
         if new == seen:
             break
