@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .cluster import columns_without, cut, cut_to_table
+from .cluster import columns_without, cut_to_table
 from .sharding import number_rows
 
 BUCKET_BITS = 18
-LABELLED_ROWS = 40_000
 PRIOR = 1.0
 ODDS = 1_000
 BEGINNINGS = (5, 7)
@@ -48,12 +47,9 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 
 
-def ngrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows and buckets of all n-grams of some texts, repeats included, and a sketch of each text.
-
-    The sketch, the smallest hash of two adjacent words, is the same for most near copies of a text.
-    """
-    shift, n = np.uint64(64 - BUCKET_BITS), len(bounds) - 1
+def ngrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of all n-grams of some texts, repeats included."""
+    shift = np.uint64(64 - BUCKET_BITS)
     low = _LOWER[data]
     starts, ends, row = arrays.word_bounds(low, bounds, _WORD)
     h = arrays.span_hashes(low, starts, ends)
@@ -77,11 +73,7 @@ def ngrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, shape_row = arrays.word_bounds(shape, shape_bounds, ~_SPACE)
     rows.append(shape_row)
     buckets.append((arrays.mix(arrays.span_hashes(shape, starts, ends) + np.uint64(9)) >> shift).astype(np.int64))
-    sketch = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    if len(h) > 1:
-        inside = row[1:] == row[:-1]
-        np.minimum.at(sketch, row[1:][inside], arrays.mix(h[:-1] * np.uint64(3) + h[1:])[inside])
-    return np.concatenate(rows), np.concatenate(buckets), sketch
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
 class Model(NamedTuple):
@@ -106,36 +98,38 @@ def log_weights(column, weights: np.ndarray) -> np.ndarray:
     data, offsets = arrays.buffers(column)
     out = np.zeros(len(offsets) - 1)
     for at, to, part, bounds in arrays.chunks(data, offsets, CHUNK):
-        row, bucket, _ = ngrams(part, bounds)
+        row, bucket = ngrams(part, bounds)
         heavy = np.flatnonzero(weights[bucket])
         pairs, times = np.unique(row[heavy] << BUCKET_BITS | bucket[heavy], return_counts=True)
         out[at:to] = np.bincount(pairs >> BUCKET_BITS, weights[pairs & ((1 << BUCKET_BITS) - 1)] * (1 + np.log(times)), to - at)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS, keep: float = KEEP) -> Model:
-    """The target model is of the good among at most ``rows`` labelled documents, the raw model of all documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> Model:
+    """The target model is of all good labelled documents but the held-out ones, the raw model of all documents.
 
-    The labelled rows are those of smallest id hash. Labels are (id, quality, toxic); a document is good with quality 1 and
-    toxic 0, and rows with a null are passed over; an id labelled twice is good if all its labels say so. Of documents with one
-    sketch only one counts, a labelled one if there is any and of those the first, or copies would pass for evidence. One in
+    Labels are (id, quality, toxic); a document is good with quality 1 and toxic 0, and rows with a null are passed over; an id
+    labelled twice is good if all its labels say so. Every text counts in the raw model, but equal ones (null and empty are
+    equal) count once, by the labelled one of smallest id if there is any, or copies would pass for evidence. One in
     HELD_OUT labelled documents, by id hash, is left out of the target model; the good ones of these give the floor. Without
-    documents, usable labels or good ones the ratios are 0 and the floor is minus infinity.
+    documents, usable labels or good ones the ratios are 0 and the floor is minus infinity. Labels meet ids and hashes of texts
+    only, in a shuffle; n-grams are shuffled once, by the text's hash.
     """
-    marked = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("id is not null and good is not null")
+    marked = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"))
     held = F.pmod(F.xxhash64(F.lit(HELD_OUT), "id"), F.lit(HELD_OUT)) == 0
-    sample = cut(marked.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(rows).withColumn("held", F.col("good") & held))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrays.buffers(b.column(2))
             for at, to, part, bounds in arrays.chunks(data, offsets, CHUNK):
-                row, bucket, sketch = ngrams(part, bounds)
+                row, bucket = ngrams(part, bounds)
                 pairs = np.unique(row << BUCKET_BITS | bucket)
                 ends = np.searchsorted(pairs >> BUCKET_BITS, np.arange(to - at + 1))
                 own = (pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
                 lists = pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array(sketch.view(np.int64)), lists], ["id", "good", "sketch", "buckets"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), lists], ["ka", "kb", "buckets"])
         arrays.trim()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found]), pa.array(np.r_[size[0], sums[0, found]]), pa.array(np.r_[size[1], sums[1, found]])], ["bucket", "target", "raw"])
         arrays.trim()
 
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    # At most `rows` pairs of id and flag are broadcast.
-    read_rows = named.join(F.broadcast(sample), "id", "left").select("id", (F.col("good") & ~F.col("held")).alias("good"), "text").mapInArrow(read, f"id {kind}, good boolean, sketch long, buckets binary")
-    kept = read_rows.groupBy("sketch").agg(F.min(F.struct(F.col("good").isNull().alias("bare"), "id", "good", "buckets")).alias("x")).select("x.good", "x.buckets")
+    texts = named.select("ka", "kb", "text").mapInArrow(read, "ka long, kb long, buckets binary").groupBy("ka", "kb").agg(F.min("buckets").alias("buckets"))
+    labelled = named.select("id", "ka", "kb").join(marked, "id").groupBy("ka", "kb").agg(F.min(F.struct("id", (F.col("good") & ~held).alias("good"))).alias("x"))
+    kept = texts.join(labelled.select("ka", "kb", "x.good"), ["ka", "kb"], "left").select("good", "buckets")
     counts = kept.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
     target, raw = np.zeros((2, 1 << BUCKET_BITS))
     size = [int(x) for x in counts[counts["bucket"] < 0][["target", "raw"]].sum()]
@@ -163,15 +155,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weights = log_ratios(target, raw, *size)
     del counts
     arrays.trim()
+    if not target.any():
+        return Model(weights, -np.inf)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(log_weights(b.column(0), weights))], ["log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(log_weights(b.column(1), weights))], ["id", "log_weight"])
         arrays.trim()
 
-    known = named.join(F.broadcast(sample.where("held").select("id")), "id").select("text").mapInArrow(judge, "log_weight double").toPandas()["log_weight"]
-    floor = float(np.quantile(known, 1 - keep)) if len(known) and target.any() else -np.inf
-    return Model(weights, floor)
+    kind = docs.schema[id_col].dataType.simpleString()
+    judged = named.where(held).select("id", "text").mapInArrow(judge, f"id {kind}, log_weight double")
+    known, total = number_rows(judged.join(marked.where("good").select("id"), "id").select("log_weight"), "log_weight")
+    if not total:
+        return Model(weights, -np.inf)
+    place = (total - 1) * (1 - keep)
+    near = [r[0] for r in known.where(F.col("row").isin(int(np.floor(place)), int(np.ceil(place)))).orderBy("row").select("log_weight").collect()]
+    return Model(weights, float(np.quantile(near, place % 1)))
 
 
 def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 0, carry: list[str] | None = None) -> DataFrame:

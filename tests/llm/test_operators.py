@@ -8,9 +8,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from galleyproof.llm import bpe, fm_index, line_runs, multi_index, resampling, sharding, simhash, suffixes, url_trees
 
@@ -277,6 +280,20 @@ def test_quality_against_brute_force(spark):
     assert resampling.resample(docs, resampling.fit(docs, labels.limit(0))).where("selected").count() == len(texts) + 1
 
 
+def test_quality_counts_all_texts_and_labels(spark):
+    """Texts that share what is smallest in them count apart, and labels do so at any rank of their ids' hashes, beyond 40,000 too."""
+    score = lambda model, *texts: resampling.log_weights(pa.array(texts), model.weights).tolist()
+    rows = [(i, ("marvel", "rubbish")[i % 2] + str(i)) for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good, bad = score(resampling.fit(docs, docs.select("doc_id", ((F.col("doc_id") + 1) % 2).alias("quality"), F.lit(0).alias("toxic"))), "marvel0000", "rubbish0000")
+    assert good > 0.3 and bad < -1
+
+    last = spark.range(43_000).withColumn("last", F.row_number().over(Window.orderBy(F.xxhash64("id"))) > 41_000)
+    docs = last.select(F.col("id").alias("doc_id"), F.when(F.col("last"), F.concat(F.lit("zebra q"), "id")).otherwise(F.concat(F.lit("heron q"), "id")).alias("text"), "last")
+    labels = docs.select("doc_id", (F.col("last") | (F.col("doc_id") % 2 == 0)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert score(resampling.fit(docs.drop("last"), labels), "zebra")[0] > 0.3
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://A.net/x", "https://m.example.net/en/1?q=2#f", "http://www.example.com/de/9", "http://b.org/fr/", "http://b.org/en/1", "http://xnet/1"]
     got = {r.id: r for r in url_trees.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
