@@ -222,6 +222,22 @@ def meetings(at_anchors: DataFrame, names: list[str], link: Callable[[np.ndarray
     return at_anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def visits(f: np.ndarray, places: list[tuple[int, int, int]], slack: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where the rows of f (fingerprints, a column for each lane) are sent, in parts: rows, anchors, and whether that is their home."""
+    for block, (lane, first, width) in enumerate(places):
+        value = f[:, lane] >> np.uint64(first)
+        value = (value & np.uint64((1 << width) - 1)).astype(np.int64)
+        syndrome = _SYNDROME[value & ((1 << CODED) - 1)]
+        for s, masks in enumerate(flips(width, slack)):
+            rows = np.flatnonzero(syndrome == s)
+            for lo in range(0, len(rows), max(1, 200_000 // len(masks))):
+                part = rows[lo : lo + max(1, 200_000 // len(masks))]
+                anchor = (value[part][:, None] ^ masks[None, :]) | (block << 32)
+                home = np.zeros(anchor.shape, bool)
+                home[:, 0] = True
+                yield np.repeat(part, len(masks)), anchor.ravel(), home.ravel()
+
+
 def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int) -> DataFrame:
     """(a, b): links between the node numbers of prints (node, f0, ...) at ``most`` differing bits or fewer, a > b.
 
@@ -235,21 +251,8 @@ def links(prints: DataFrame, lanes: int, most: int, per_lane: int, slack: int) -
             if not b.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            for block, (lane, first, width) in enumerate(places):
-                value = cols[1 + lane].view(np.uint64) >> np.uint64(first)
-                value = (value & np.uint64((1 << width) - 1)).astype(np.int64)
-                syndrome = _SYNDROME[value & ((1 << CODED) - 1)]
-                for s, masks in enumerate(flips(width, slack)):
-                    rows = np.flatnonzero(syndrome == s)
-                    if not len(rows):
-                        continue
-                    for lo in range(0, len(rows), max(1, 200_000 // len(masks))):
-                        part = rows[lo : lo + max(1, 200_000 // len(masks))]
-                        anchor = (value[part][:, None] ^ masks[None, :]) | (block << 32)
-                        home = np.zeros(anchor.shape, bool)
-                        home[:, 0] = True
-                        source = np.repeat(part, len(masks))
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.ravel()), pa.array(home.ravel()), *(pa.array(c[source]) for c in cols)], ["anchor", "home", "node", *names])
+            for source, anchor, home in visits(np.stack([c.view(np.uint64) for c in cols[1:]], axis=1), places, slack):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(home), *(pa.array(c[source]) for c in cols)], ["anchor", "home", "node", *names])
 
     at_anchors = prints.select("node", *names).mapInArrow(spread, "anchor long, home boolean, node long, " + ", ".join(f"{c} long" for c in names))
     return meetings(at_anchors, names, lambda key, home, f: meet(key, home, f, most))
